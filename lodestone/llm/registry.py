@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from lodestone.llm import exact_dedup, mixing, simhash, substring, token_files
+from lodestone.llm import exact_dedup, html_text, katz, mixing, quality, simhash, substring, token_files, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring.query,
+    "op2_katz_scoring": katz.query,
     "op3_mixing": mixing.query,
+    "op4_toxicity": toxicity.query,
+    "op5_quality": quality.query,
+    "op6_html_text": html_text.query,
     "op7_token_files": token_files.query,
     "op9_simhash_dedup": simhash.query,
     "op10_exact_dedup": exact_dedup.query,
