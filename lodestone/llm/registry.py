@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import exact_dedup, html_text, katz, mixing, quality, simhash, substring, token_files, toxicity
+from lodestone.llm import decontaminate, exact_dedup, html_text, katz, mixing, quality, simhash, substring, token_files, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_quality": quality.query,
     "op6_html_text": html_text.query,
     "op7_token_files": token_files.query,
+    "op8_decontamination": decontaminate.query,
     "op9_simhash_dedup": simhash.query,
     "op10_exact_dedup": exact_dedup.query,
 }

@@ -195,5 +195,11 @@ def near_dedup(docs: DataFrame, shingle: int = 3, budget: int = 3) -> DataFrame:
     return marked.join(rooted.join(least, "root").select("fp", "component_id"), "fp")
 
 
+def representatives(docs: DataFrame, shingle: int = 5, budget: int = 3) -> DataFrame:
+    """`docs` without near copies: of each component the row with the smallest doc_id stays, in all its columns."""
+    marked = near_dedup(docs, shingle, budget).select("doc_id", "component_id").filter("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(marked, docs["doc_id"].eqNullSafe(marked["_kept"]), "left_semi")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(tx.documents(spark, sf_dir)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
