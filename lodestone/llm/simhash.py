@@ -14,7 +14,9 @@ make one shingle of the whole sequence; component_id is the smallest doc_id reac
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -66,12 +68,27 @@ def fingerprint(text: bytes | None, shingle: int) -> int:
     return bits_over_half(np.fromiter([digest(view[s:e], 42) for s, e in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], np.uint64, len(starts)))
 
 
+def word_fingerprint(text: bytes | None) -> int:
+    """Of a text's distinct words, each weighing by its length beyond three bytes: nearly blind to common words."""
+    data = np.frombuffer(tx.lowered(text), np.uint8)
+    starts, ends, _ = tx.word_spans(data, np.array([0, len(data)]))
+    if not len(starts):
+        return 0
+    words, first = np.unique(tx.word_hashes(data, starts, ends), return_index=True)
+    weight = np.clip((ends - starts)[first] - 3, 0, 12).astype(np.float32)
+    balance = np.zeros(BITS, np.float64)
+    for at in range(0, len(words), 65_536):
+        bits = np.unpackbits(words[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        balance += weight[at : at + 65_536] @ (bits.astype(np.float32) * 2 - 1)
+    return int.from_bytes(np.packbits(balance > 0, bitorder="little").tobytes(), "little")
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) of every row, from whole texts; fp is the fingerprint as a signed long."""
+    """(doc_id, fp) of every row, from whole texts; fp is the fingerprint as a signed long. Shingle 0: distinct words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64)
+            found = np.array([fingerprint(t.as_py(), shingle) if shingle else word_fingerprint(t.as_py()) for t in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
@@ -151,11 +168,19 @@ def trie_join(group: np.ndarray, fp: np.ndarray, budget: int, width: int = 400_0
     return i, parent[i]
 
 
-def links(classes: DataFrame, budget: int = 3, crowd: int = 100_000) -> DataFrame:
-    """Edges (a, b) between fingerprints of `classes` (fp) that span all components within the budget."""
+def links(classes: DataFrame, budget: int = 3, agree: int = 1, crowd: int = 100_000) -> DataFrame:
+    """Edges (a, b) between fingerprints of `classes` (fp) that span all components within the budget.
+
+    With budget + agree blocks, two fingerprints within the budget agree on `agree` blocks at least: more blocks to
+    agree on give more, smaller buckets.
+    """
     spark = classes.sparkSession
-    blocks, width = budget + 1, BITS // (budget + 1)
-    part = F.explode(F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", width * k).bitwiseAND((1 << (width if k < blocks - 1 else BITS - width * k)) - 1).alias("value")) for k in range(blocks)]))
+    blocks = budget + agree
+    edge = [round(BITS * k / blocks) for k in range(blocks + 1)]
+    pick = lambda k: F.shiftrightunsigned("fp", edge[k]).bitwiseAND((1 << edge[k + 1] - edge[k]) - 1)
+    chosen = list(itertools.combinations(range(blocks), agree))
+    value = [reduce(lambda x, k: F.shiftleft(x, edge[k + 1] - edge[k]).bitwiseOR(pick(k)), c[1:], pick(c[0])) for c in chosen]
+    part = F.explode(F.array(*[F.struct(F.lit(k).alias("block"), v.alias("value")) for k, v in enumerate(value)]))
     dealt = classes.select("fp", part.alias("p")).select("fp", "p.block", "p.value")
     crowded = tx.stored(dealt.groupBy("block", "value").agg(F.count("*").alias("n")).filter(F.col("n") > crowd), "crowded")
     if not crowded.isEmpty():
@@ -185,20 +210,76 @@ def links(classes: DataFrame, budget: int = 3, crowd: int = 100_000) -> DataFram
     return dealt.select("fp", F.xxhash64(*keys).alias("task")).repartition(n, "task").mapInArrow(run, "a long, b long")
 
 
-def near_dedup(docs: DataFrame, shingle: int = 3, budget: int = 3) -> DataFrame:
+def near_dedup(docs: DataFrame, shingle: int = 3, budget: int = 3, agree: int = 1) -> DataFrame:
     """(doc_id, fp, component_id) for every row of (doc_id, text)."""
     marked = tx.stored(fingerprints(docs, shingle), "fingerprints")
     classes = tx.stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "classes")
-    found = components(links(classes.select("fp"), budget))
+    found = components(links(classes.select("fp"), budget, agree))
     rooted = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     return marked.join(rooted.join(least, "root").select("fp", "component_id"), "fp")
 
 
-def representatives(docs: DataFrame, shingle: int = 5, budget: int = 3) -> DataFrame:
-    """`docs` without near copies: of each component the row with the smallest doc_id stays, in all its columns."""
-    marked = near_dedup(docs, shingle, budget).select("doc_id", "component_id").filter("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(marked, docs["doc_id"].eqNullSafe(marked["_kept"]), "left_semi")
+def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
+    """Distinct hashes of a text's shingles of lower-cased words (a shorter text: of the whole)."""
+    data = np.frombuffer(text or b"", np.uint8)
+    starts, ends, _ = tx.word_spans(data, np.array([0, len(data)]))
+    h = tx.word_hashes(data, starts, ends, lower=True)
+    if not len(h):
+        return h
+    k = min(shingle, len(h))
+    with np.errstate(over="ignore"):
+        x = h[: len(h) - k + 1].copy()
+        for j in range(1, k):
+            x = tx.mix(x) + h[j : len(h) - k + 1 + j]
+    return np.unique(x)
+
+
+def _similarity(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, None
+        for batch in batches:
+            out = []
+            for a, b in zip(batch.column(1), batch.column(2), strict=True):
+                a, b = a.as_py() or b"", b.as_py() or b""
+                if last is None or b != last:
+                    last, held = b, shingle_set(b, shingle)
+                x = shingle_set(a, shingle)
+                both = len(np.intersect1d(x, held, assume_unique=True))
+                union = len(x) + len(held) - both
+                out.append(both / union if union else 1.0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["doc_id", "similarity"])
+
+    return run
+
+
+def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, budget: int = 8, rounds: int = 3) -> DataFrame:
+    """`docs` without near copies: of each group one row stays, in all its columns.
+
+    Fingerprints of distinct words propose components: at a similarity of 0.8 over five-word shingles an edit
+    changes five shingles and one word, so words keep copies within few bits. Each member is then held against its
+    component's smallest doc_id on whole word shingles. Two texts linked to a third at `similarity` are at least
+    2 * similarity - 1 alike; a member that is goes, any other enters the next round among its like. After `rounds`
+    what is left stays. Texts without words are alike; null ids stay.
+    """
+    marked = near_dedup(docs, 0, budget, agree=2).filter("doc_id is not null").select("doc_id", F.col("component_id").alias("leader"))
+    open_ = tx.stored(marked.filter("doc_id <> leader").distinct(), "members")
+    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    gone = None
+    for step in range(rounds):
+        led = texts.join(open_.select(F.col("leader").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("other")).withColumnRenamed("doc_id", "leader")
+        pairs = texts.join(open_, "doc_id").join(led, "leader").select("doc_id", "text", "other")
+        alike = pairs.mapInArrow(_similarity(shingle), "doc_id long, similarity double").groupBy("doc_id").agg(F.max("similarity").alias("similarity"))
+        judged = tx.stored(open_.join(alike, "doc_id"), "judged")
+        found = judged.filter(F.col("similarity") >= 2 * similarity - 1).select(F.col("doc_id").alias("_gone"))
+        gone = found if gone is None else gone.unionByName(found)
+        rest = judged.filter(F.col("similarity") < 2 * similarity - 1).select("doc_id", F.col("leader").alias("old"))
+        least = rest.groupBy("old").agg(F.min("doc_id").alias("leader"))
+        open_ = tx.stored(rest.join(least, "old").filter("doc_id <> leader").select("doc_id", "leader"), "members")
+        if step + 1 < rounds and open_.isEmpty():
+            break
+    # rows that repeat an id are copies of one document: the first of equal rows is enough
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
