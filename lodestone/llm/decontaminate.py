@@ -100,45 +100,46 @@ def _merge(a: tuple, b: tuple) -> tuple:
     return rows, out
 
 
-def latent_space(items: DataFrame, idf: np.ndarray, rank: int = RANK, powers: int = 2, seed: int = 3) -> np.ndarray:
-    """Right singular vectors (buckets x rank) of the items' TF-IDF passages; rows of unread buckets are zero.
+def latent_space(items: DataFrame, idf: np.ndarray, rank: int = RANK, powers: int = 2, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Right singular vectors of the items' TF-IDF passages: (buckets that occur, a row for each).
 
-    Z = A'(A Q) is summed over partitions; only rows of buckets that occur are carried.
+    Z = A'(A Q) is summed over partitions. Only rows of buckets that occur in the items are made, sent or kept.
     """
     width = rank + 16
     texts = _texts(items, "item_id").rdd.map(lambda r: bytes(r[1]) if r[1] is not None else b"")
 
-    def product(q: np.ndarray | None):
+    def product(known: np.ndarray | None, q: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         def run(rows: Iterator[bytes]) -> Iterator[tuple]:
-            random = np.random.default_rng(seed).normal(size=(BUCKETS, width)) if q is None else None
             own = [np.unique(p, return_counts=True) for text in rows for p in passages(text)]
             if not own:
                 return
             used = np.unique(np.concatenate([u for u, _ in own]))
-            total = np.zeros((len(used), width))
+            if q is None:  # probes: the same for a bucket in every task
+                basis = np.stack([np.random.default_rng([seed, int(u)]).normal(size=width) for u in used])
+            else:
+                basis = q[np.searchsorted(known, used)]
+            total = np.zeros_like(basis)
             for use, n in own:
                 x = n * idf[use]
                 x = x / (np.linalg.norm(x) or 1)
-                total[np.searchsorted(used, use)] += np.outer(x, x @ (random if q is None else q)[use])
+                at = np.searchsorted(used, use)
+                total[at] += np.outer(x, x @ basis[at])
             yield used, total
 
         parts = texts.mapPartitions(run)
-        return parts.treeReduce(_merge) if not parts.isEmpty() else (np.zeros(0, np.int64), np.zeros((0, width)))
-
-    rows, z = product(None)
-    if not len(rows):
-        return np.zeros((BUCKETS, 1), np.float32)
-    full = np.zeros((BUCKETS, min(width, len(rows))))
-    for _ in range(powers):
-        q, _ = np.linalg.qr(z)
-        full = np.zeros((BUCKETS, q.shape[1]))
-        full[rows] = q
-        width = q.shape[1]
-        rows, z = product(full)
+        return (np.zeros(0, np.int64), np.zeros((0, width))) if parts.isEmpty() else parts.treeReduce(_merge)
+
+    known, z = product(None, None)
+    if not len(known):
+        return known, z
+    q, _ = np.linalg.qr(z)
+    for _ in range(powers - 1):
+        q, _ = np.linalg.qr(product(known, q)[1])
+    _, z = product(known, q)
     # in the basis Q, A'A is Q'Z: its leading eigenvectors are the right singular vectors
-    value, vector = np.linalg.eigh(full[rows].T @ z)
+    value, vector = np.linalg.eigh(q.T @ z)
     keep = np.argsort(value)[::-1][: min(rank, int((value > 1e-9).sum()) or 1)]
-    return (full @ vector[:, keep]).astype(np.float32)
+    return known, (q @ vector[:, keep]).astype(np.float32)
 
 
 def lcs(a: list[bytes], b: list[bytes]) -> int:
@@ -188,24 +189,25 @@ class Item:
 
 def _search(docs: DataFrame, items: DataFrame, idf: np.ndarray, only_candidates: bool) -> DataFrame:
     spark = docs.sparkSession
-    space = latent_space(items, idf)
+    known, space = latent_space(items, idf)
     rows = [(r[0], bytes(r[1])) for r in _texts(items, "item_id").collect() if r[0] is not None and r[1]]
-    weighted = space * idf[:, None]
+    weighted = space * idf[known, None]
     vectors, owner = [], []
     for i, (_, text) in enumerate(rows):
         for p in passages(text):
-            v = weighted[p].sum(0)
+            v = weighted[np.searchsorted(known, p)].sum(0)
             n = np.linalg.norm(v)
             if n > 0:  # divided by what the space keeps of the passage: an exact copy has cosine one
                 vectors.append(v / n * (np.sqrt((idf[p] ** 2).sum()) / n))
                 owner.append(i)
     if not vectors:
         return spark.createDataFrame([], "doc_id long, item_id long, cosine double, lcs double, answer boolean")
-    used = np.abs(space).max(1) > 0
-    shared = spark.sparkContext.broadcast((np.concatenate([weighted[used], np.zeros((1, weighted.shape[1]), np.float32)]), np.where(used, np.cumsum(used) - 1, -1).astype(np.int32), idf**2, np.array(vectors, np.float32), np.array(owner), rows))  # at most BUCKETS x RANK and ITEMS items
+    number = np.full(BUCKETS, -1, np.int32)
+    number[known] = np.arange(len(known))
+    shared = spark.sparkContext.broadcast((np.concatenate([weighted, np.zeros((1, weighted.shape[1]), np.float32)]), number, idf**2, np.array(vectors, np.float32), np.array(owner), rows))  # at most BUCKETS x RANK and ITEMS items
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, number, power, vectors_, owner_, rows_ = shared.value
+        table, number_, power, vectors_, owner_, rows_ = shared.value
         checks = [Item(t) for _, t in rows_]
         for batch in batches:
             data, offsets = tx.binary_column(batch, "text")
@@ -219,7 +221,7 @@ def _search(docs: DataFrame, items: DataFrame, idf: np.ndarray, only_candidates:
                 of = np.repeat(np.arange(len(size)), blocks)
                 first = np.cumsum(size) - size
                 start = first[of] + (np.arange(len(of)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * STRIDE
-                where = number[bucket]
+                where = number_[bucket]
                 norm = np.add.reduceat(power[bucket], start)
                 known = np.add.reduceat(np.where(where >= 0, power[bucket], 0), start)
                 follows = np.append(of[1:] == of[:-1], False)  # a passage is this block and the next of the same text
