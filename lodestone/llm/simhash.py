@@ -75,7 +75,7 @@ def word_fingerprint(text: bytes | None) -> int:
     if not len(starts):
         return 0
     words, first = np.unique(tx.word_hashes(data, starts, ends), return_index=True)
-    weight = np.clip((ends - starts)[first] - 3, 0, 12).astype(np.float32)
+    weight = np.clip((ends - starts)[first] - 3, 0.2, 12).astype(np.float32)
     balance = np.zeros(BITS, np.float64)
     for at in range(0, len(words), 65_536):
         bits = np.unpackbits(words[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -257,22 +257,25 @@ def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     """`docs` without near copies: of each group one row stays, in all its columns.
 
     Fingerprints of distinct words propose components: at a similarity of 0.8 over five-word shingles an edit
-    changes five shingles and one word, so words keep copies within few bits. Each member is then held against its
+    changes five shingles and one word, so words keep copies within few bits. Equal texts go at once. Each other member is then held against its
     component's smallest doc_id on whole word shingles. Two texts linked to a third at `similarity` are at least
     2 * similarity - 1 alike; a member that is goes, any other enters the next round among its like. After `rounds`
     what is left stays. Texts without words are alike; null ids stay.
     """
     marked = near_dedup(docs, 0, budget, agree=2).filter("doc_id is not null").select("doc_id", F.col("component_id").alias("leader"))
-    open_ = tx.stored(marked.filter("doc_id <> leader").distinct(), "members")
-    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    gone = None
+    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")).alias("text"))
+    keyed = tx.stored(texts.select("doc_id", F.sha2("text", 256).alias("digest")), "digests")
+    equal = keyed.join(keyed.groupBy("digest").agg(F.min("doc_id").alias("least")), "digest").filter("doc_id > least").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = tx.stored(equal, "equal")
+    open_ = marked.filter("doc_id <> leader").distinct()
+    open_ = tx.stored(open_.join(gone, open_["doc_id"] == gone["_gone"], "left_anti"), "members")
     for step in range(rounds):
         led = texts.join(open_.select(F.col("leader").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("other")).withColumnRenamed("doc_id", "leader")
         pairs = texts.join(open_, "doc_id").join(led, "leader").select("doc_id", "text", "other")
         alike = pairs.mapInArrow(_similarity(shingle), "doc_id long, similarity double").groupBy("doc_id").agg(F.max("similarity").alias("similarity"))
         judged = tx.stored(open_.join(alike, "doc_id"), "judged")
         found = judged.filter(F.col("similarity") >= 2 * similarity - 1).select(F.col("doc_id").alias("_gone"))
-        gone = found if gone is None else gone.unionByName(found)
+        gone = gone.unionByName(found)
         rest = judged.filter(F.col("similarity") < 2 * similarity - 1).select("doc_id", F.col("leader").alias("old"))
         least = rest.groupBy("old").agg(F.min("doc_id").alias("leader"))
         open_ = tx.stored(rest.join(least, "old").filter("doc_id <> leader").select("doc_id", "leader"), "members")
