@@ -153,8 +153,15 @@ def crc_mod(col: str | Column, n: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python in small batches, so that a worker's memory doesn't follow their length."""
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))):
+        spark.conf.set(key, value)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share; one of our own only where none is set."""
+    small_batches(spark)
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         root = os.path.join(os.environ.get("TMPDIR", "/tmp"), "lodestone-shared")
@@ -189,8 +196,9 @@ def drop_stored(spark: SparkSession, df: DataFrame) -> None:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return read_table(spark, sf_dir, "documents")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
