@@ -34,7 +34,7 @@ from lodestone.llm import textops as tx
 
 END_ID = 1
 NO_ID = -(1 << 63)
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 _STARTED: dict[str, Encoder] = {}  # one per Python worker, kept between tasks
 
 #: Letters of one or two bytes whose lower case is one letter, then punctuation: one or two pieces for the tokenizer.
