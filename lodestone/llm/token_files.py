@@ -16,6 +16,7 @@ keep one entry per row.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import uuid
@@ -25,6 +26,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -72,6 +74,7 @@ class Encoder:
         self.place: dict[bytes, int] = {}
         self.start, self.count, self.used, self.filled = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 0, 0
         self.pool = np.zeros(1 << 18, np.uint32)
+        self._keep([b""], np.zeros(1, np.int64), np.zeros(0, np.uint32))
 
     def _keep(self, words: list[bytes], counts: np.ndarray, ids: np.ndarray) -> None:
         n = self.filled + len(words)
@@ -92,20 +95,17 @@ class Encoder:
 
     def _learn(self, words: list[bytes]) -> None:
         """Give every new word a place."""
-        plain, other, bare = [], [], {}
+        plain, head, tail, other, match, placed = [], [], [], [], _PLAIN.fullmatch, self.place
         for w in words:
-            m = _PLAIN.fullmatch(w)
+            m = match(w)
             if m is None:
                 other.append(w)
-            elif m[2]:
-                plain.append(w)
-                bare[m[1].lower()] = None
-                bare[m[2]] = None
             else:
                 plain.append(w)
-                bare[m[1].lower()] = None
+                head.append(m[1].lower())
+                tail.append(m[2])
         self._each(other)
-        missing = [b for b in bare if b not in self.place]
+        missing = [b for b in dict.fromkeys(itertools.chain(head, filter(None, tail))) if b not in placed]
         for at in range(0, len(missing), 4096):
             part = missing[at : at + 4096]
             ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, np.uint32)
@@ -114,36 +114,39 @@ class Encoder:
                 self._each(part)
             else:
                 self._keep(part, np.diff(stops, prepend=0), ids)
-        new = [w for w in plain if w not in self.place]
+        new = [i for i, w in enumerate(plain) if w not in placed]
         if new:
-            pieces = [(m[1].lower(), m[2]) for m in map(_PLAIN.fullmatch, new)]
-            first = np.fromiter((self.place[a] for a, _ in pieces), np.int64, len(new))
-            second = np.fromiter((self.place[b] if b else -1 for _, b in pieces), np.int64, len(new))
-            n2 = np.where(second >= 0, self.count[second], 0)
-            both = np.stack([self.start[first], np.where(second >= 0, self.start[second], 0)], 1).ravel()
-            size = np.stack([self.count[first], n2], 1).ravel().astype(np.int64)
-            self._keep(new, self.count[first] + n2, self._gather(both, size))
+            first = np.fromiter((placed[head[i]] for i in new), np.int64, len(new))
+            second = np.fromiter((placed[tail[i]] for i in new), np.int64, len(new))
+            size = np.stack([self.count[first], self.count[second]], 1).ravel().astype(np.int64)
+            self._keep([plain[i] for i in new], self.count[first] + self.count[second], self._gather(np.stack([self.start[first], self.start[second]], 1).ravel(), size))
 
     def _gather(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         total = int(size.sum())
         at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(total)
         return self.pool[at]
 
-    def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[bytes | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, ids per text)."""
-        split = [t.split() if t else [] for t in texts]
-        words = [w for x in split for w in x]
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.binary())
+        texts = texts.fill_null(b"").view(pa.string())
+        # Splits at runs of [\x20\x09-\x0D]; a run at an end gives an empty word, which has no ids.
+        split = pc.ascii_split_whitespace(texts)
+        edge = np.asarray(split.offsets).astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        listed = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary.view(pa.binary()))
+        words = pc.binary_join(listed, b" ")[0].as_py().split(b" ") if len(coded) else []
         place = list(map(self.place.get, words))
         if None in place:
             if self.filled > self.limit:
                 self._clear()
-            self._learn(list({w for w in words if w not in self.place}))
+            self._learn([w for w in words if w not in self.place])
             place = list(map(self.place.__getitem__, words))
-        place = np.array(place, np.int64)
+        place = np.array(place, np.int64)[coded.indices.to_numpy()] if words else np.zeros(0, np.int64)
         size = self.count[place].astype(np.int64)
         run = np.concatenate([[0], np.cumsum(size)])
-        edge = np.concatenate([[0], np.cumsum([len(x) for x in split])]).astype(np.int64)
-        return self._gather(self.start[place], size), np.diff(run[edge])
+        return self._gather(self.start[place], size), np.diff(run[edge - edge[0]])
 
 
 def encoder(path: str) -> Encoder:
@@ -167,7 +170,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_
                 ids.append(batch.column(0).fill_null(NO_ID).to_numpy())
                 texts = batch.column(1)
                 for a, b in tx.chunks(tx.binary_column(batch, "text")[1]):
-                    tokens, n = code.encode(texts[a:b].to_pylist())
+                    tokens, n = code.encode(texts.slice(a, b - a))
                     whole = np.insert(tokens, np.cumsum(n), end_id).astype(kind)
                     sizes.append(n + 1)
                     out.write(whole.tobytes())
