@@ -83,3 +83,19 @@ def clustering_measures(rows: DataFrame) -> DataFrame:
     bp, br = F.col("bp") / F.col("all"), F.col("br") / F.col("all")
     f1 = lambda x, y: F.when(x + y == 0, 0.0).otherwise(2 * x * y / (x + y))
     return whole.select(p.alias("pair_precision"), r.alias("pair_recall"), f1(p, r).alias("pair_f1"), bp.alias("b3_precision"), br.alias("b3_recall"), f1(bp, br).alias("b3_f1"))
+
+
+def posteriors(scores: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, label, p): log scores of all labels of a row, less their maximum, exponentiated and normalised."""
+    w = Window.partitionBy(key)
+    raised = scores.withColumn("e", F.exp(F.col("score") - F.max("score").over(w)))
+    return raised.select(key, "label", (F.col("e") / F.sum("e").over(w)).alias("p"))
+
+
+def accuracy_at_coverage(rows: DataFrame) -> DataFrame:
+    """(score, coverage, accuracy) of (score, correct 0/1): what is covered from the highest score down, and right there."""
+    each = rows.groupBy("score").agg(F.count("*").alias("n"), F.sum("correct").alias("k"))
+    w = Window.orderBy(F.col("score").desc())  # a row per distinct score
+    whole = F.broadcast(rows.agg(F.count("*").alias("total")))  # one row
+    run = each.select("score", F.sum("n").over(w).alias("n"), F.sum("k").over(w).alias("k")).crossJoin(whole)
+    return run.select("score", (F.col("n") / F.col("total")).alias("coverage"), (F.col("k") / F.col("n")).alias("accuracy"))

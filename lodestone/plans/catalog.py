@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
-from lodestone.operators import index, learn, links, sequences
+from lodestone.operators import index, learn, links, models, sequences
 from lodestone.sources.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -426,3 +426,112 @@ def nearest_centroid(spark, d):
     spread = F.aggregate(F.zip_with("embedding", "centre", lambda x, m: (x.cast("double") - m) * (x.cast("double") - m)), F.lit(0.0), lambda a, x: a + x)
     best = F.min(F.struct(F.round(spread, 6).alias("dist"), "near")).alias("b")
     return e.crossJoin(F.broadcast(c)).groupBy("vec_id", "label").agg(best).select("vec_id", "label", F.col("b.near").alias("near"))  # a row per class
+
+
+@query(
+    f"""WITH {_NB}, e AS (SELECT doc_id, label, exp(score - max(score) OVER (PARTITION BY doc_id)) AS e FROM score)
+SELECT doc_id, label, round(e / sum(e) OVER (PARTITION BY doc_id), 5) + 0.0 AS p FROM e"""
+)
+def naive_bayes_posteriors(spark, d):
+    counts, _, model, priors = _bayes(spark, d)
+    found = learn.posteriors(learn.naive_bayes_predict(counts, model, priors))
+    return found.withColumn("p", F.round("p", 5) + 0.0)
+
+
+@query(
+    """WITH e AS (SELECT n_chars AS score, count(*) AS n, sum(quality) AS k FROM labels JOIN documents USING (doc_id) GROUP BY n_chars),
+r AS (SELECT score, sum(n) OVER w AS n, sum(k) OVER w AS k FROM e WINDOW w AS (ORDER BY score DESC))
+SELECT score, round(n::DOUBLE / (SELECT sum(n) FROM e), 6) AS coverage, round(k::DOUBLE / n, 6) AS accuracy FROM r"""
+)
+def accuracy_at_coverage(spark, d):
+    rows = read(spark, d, "labels").join(_docs(spark, d), "doc_id").select(F.col("n_chars").alias("score"), F.col("quality").alias("correct"))
+    return _round(learn.accuracy_at_coverage(rows), "coverage", "accuracy")
+
+
+@query(
+    """WITH s AS (SELECT role AS a, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations),
+p AS (SELECT a, b, count(*) AS n FROM s WHERE b IS NOT NULL GROUP BY ALL)
+SELECT a, b, n, round(ln((n + 1)::DOUBLE / (sum(n) OVER (PARTITION BY a) + (SELECT count(DISTINCT role) FROM conversations))), 6) AS logp FROM p"""
+)
+def state_transitions(spark, d):
+    return _round(models.transitions(read(spark, d, "conversations"), "conv_id", "turn", "role"), "logp")
+
+
+@query(
+    """SELECT * FROM (SELECT conv_id, turn, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) || '@-1_&_' || role AS feature FROM conversations) WHERE feature IS NOT NULL"""
+)
+def feature_conjunctions(spark, d):
+    return models.conjunctions(read(spark, d, "conversations"), "conv_id", "turn", "role")
+
+
+@query(
+    """WITH f AS (SELECT lang, source, count(*)::DOUBLE AS v FROM documents GROUP BY ALL),
+g AS (SELECT source, quality, count(*)::DOUBLE AS v FROM documents JOIN labels USING (doc_id) GROUP BY ALL),
+m AS (SELECT lang, quality, sum(f.v * g.v) AS v FROM f JOIN g USING (source) GROUP BY ALL)
+SELECT lang, quality, round(v / (SELECT sum(v) FROM m), 6) AS value FROM m"""
+)
+def variable_elimination(spark, d):
+    docs = _docs(spark, d)
+    f = docs.groupBy("lang", "source").agg(F.count("*").cast("double").alias("value"))
+    g = docs.join(read(spark, d, "labels"), "doc_id").groupBy("source", "quality").agg(F.count("*").cast("double").alias("value"))
+    return _round(models.eliminate([f, g], "lang", "quality"), "value")
+
+
+def _by_language(spark: SparkSession, d: str) -> DataFrame:
+    return _counts(spark, d).join(_docs(spark, d).select("doc_id", "lang"), "doc_id")
+
+
+_TOPIC = f"{_INDEX}, o AS (SELECT doc_id, lang, term, n FROM tf JOIN documents USING (doc_id)), c AS (SELECT lang, term, sum(n) AS n FROM o GROUP BY ALL)"
+
+
+@query(
+    f"""WITH {_TOPIC}, room AS (SELECT lang, sum(n) + 0.01::DOUBLE * (SELECT count(DISTINCT term) FROM c) AS room FROM c GROUP BY lang),
+seen AS (SELECT term, sum(n / room) AS seen FROM c JOIN room USING (lang) GROUP BY term),
+t AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, term) <= 20)
+SELECT lang, round(avg((n + 0.01::DOUBLE) / room / (seen + (SELECT sum(0.01::DOUBLE / room) FROM room))), 6) AS exclusivity FROM t JOIN room USING (lang) JOIN seen USING (term) GROUP BY lang"""
+)
+def topic_exclusivity(spark, d):
+    counts = _by_language(spark, d).groupBy("lang", "term").agg(F.sum("n").alias("n"))
+    return _round(models.exclusivity(counts, "lang"), "exclusivity")
+
+
+@query(
+    f"""WITH {_TOPIC}, t AS (SELECT lang, term, row_number() OVER (PARTITION BY lang ORDER BY n DESC, term) AS r FROM c QUALIFY r <= 10),
+h AS (SELECT doc_id, lang, r FROM o JOIN t USING (lang, term)), s AS (SELECT lang, r AS j, count(*) AS dj FROM h GROUP BY ALL),
+b AS (SELECT x.lang, x.r AS i, y.r AS j, count(*) AS dij FROM h x JOIN h y ON x.doc_id = y.doc_id AND x.lang = y.lang AND x.r > y.r GROUP BY ALL)
+SELECT t.lang, round(sum(ln((coalesce(dij, 0) + 0.01::DOUBLE) / (dj + 0.01::DOUBLE))), 6) AS coherence
+FROM t JOIN s ON s.lang = t.lang AND t.r > s.j LEFT JOIN b ON b.lang = t.lang AND b.i = t.r AND b.j = s.j GROUP BY t.lang"""
+)
+def topic_coherence(spark, d):
+    return _round(models.coherence(_by_language(spark, d), "lang"), "coherence")
+
+
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    labels = read(spark, d, "labels").filter(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("double").alias("label"))
+    return _docs(spark, d).select("doc_id", "text").join(labels, "doc_id", "left")
+
+
+@query()
+def maximum_entropy_labels(spark, d):
+    """Trained on every labelled row, predicts every document: accuracy is tested."""
+    return models.maximum_entropy(_labelled(spark, d))
+
+
+@query()
+def decision_tree_labels(spark, d):
+    return models.decision_tree(_labelled(spark, d))
+
+
+@query()
+def support_vector_labels(spark, d):
+    return models.support_vectors(_labelled(spark, d))
+
+
+@query()
+def latent_topics(spark, d):
+    return models.topics(_docs(spark, d))
+
+
+@query()
+def k_means_clusters(spark, d):
+    return models.k_means(read(spark, d, "embeddings"), "vec_id", "embedding")
