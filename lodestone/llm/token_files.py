@@ -76,6 +76,11 @@ class Encoder:
         self.pool = np.zeros(1 << 18, np.uint32)
         self._keep([b""], np.zeros(1, np.int64), np.zeros(0, np.uint32))
 
+    def rest(self) -> None:
+        """Give the words' memory back: the worker goes on to other operators' tasks."""
+        self._clear()
+        pa.default_memory_pool().release_unused()
+
     def _keep(self, words: list[bytes], counts: np.ndarray, ids: np.ndarray) -> None:
         n = self.filled + len(words)
         while n > len(self.start):
@@ -169,11 +174,12 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_
             for batch in batches:
                 ids.append(batch.column(0).fill_null(NO_ID).to_numpy())
                 texts = batch.column(1)
-                for a, b in tx.chunks(tx.binary_column(batch, "text")[1]):
+                for a, b in tx.chunks(tx.binary_column(batch, "text")[1], 8 << 20):
                     tokens, n = code.encode(texts.slice(a, b - a))
                     whole = np.insert(tokens, np.cumsum(n), end_id).astype(kind)
                     sizes.append(n + 1)
                     out.write(whole.tobytes())
+        code.rest()
         n = np.concatenate([*sizes, np.zeros(0, np.int64)])
         if not len(n):
             store.delete_file(f"{at}/{own}.bin")
