@@ -217,7 +217,7 @@ def near_dedup(docs: DataFrame, shingle: int = 3, budget: int = 3, agree: int =
     found = components(links(classes.select("fp"), budget, agree))
     rooted = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return marked.join(rooted.join(least, "root").select("fp", "component_id"), "fp")
+    return marked.join(rooted.join(tx.dealt_anew(least, "root"), "root").select("fp", "component_id"), "fp")
 
 
 def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
