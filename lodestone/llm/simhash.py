@@ -265,12 +265,14 @@ def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     marked = near_dedup(docs, 0, budget, agree=2).filter("doc_id is not null").select("doc_id", F.col("component_id").alias("leader"))
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")).alias("text"))
     keyed = tx.stored(texts.select("doc_id", F.sha2("text", 256).alias("digest")), "digests")
-    equal = keyed.join(keyed.groupBy("digest").agg(F.min("doc_id").alias("least")), "digest").filter("doc_id > least").select(F.col("doc_id").alias("_gone")).distinct()
+    least = keyed.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1").select("digest", "least")
+    equal = keyed.join(tx.dealt_anew(least, "digest"), "digest").filter("doc_id > least").select(F.col("doc_id").alias("_gone")).distinct()
     gone = tx.stored(equal, "equal")
     open_ = marked.filter("doc_id <> leader").distinct()
     open_ = tx.stored(open_.join(gone, open_["doc_id"] == gone["_gone"], "left_anti"), "members")
     for step in range(rounds):
-        led = texts.join(open_.select(F.col("leader").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("other")).withColumnRenamed("doc_id", "leader")
+        led = texts.join(open_.select(F.col("leader").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("other"))
+        led = tx.dealt_anew(led.withColumnRenamed("doc_id", "leader"), "leader")
         pairs = texts.join(open_, "doc_id").join(led, "leader").select("doc_id", "text", "other")
         alike = pairs.mapInArrow(_similarity(shingle), "doc_id long, similarity double").groupBy("doc_id").agg(F.max("similarity").alias("similarity"))
         judged = tx.stored(open_.join(alike, "doc_id"), "judged")
@@ -278,7 +280,7 @@ def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         gone = gone.unionByName(found)
         rest = judged.filter(F.col("similarity") < 2 * similarity - 1).select("doc_id", F.col("leader").alias("old"))
         least = rest.groupBy("old").agg(F.min("doc_id").alias("leader"))
-        open_ = tx.stored(rest.join(least, "old").filter("doc_id <> leader").select("doc_id", "leader"), "members")
+        open_ = tx.stored(rest.join(tx.dealt_anew(least, "old"), "old").filter("doc_id <> leader").select("doc_id", "leader"), "members")
         if step + 1 < rounds and open_.isEmpty():
             break
     # rows that repeat an id are copies of one document: the first of equal rows is enough
