@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -172,7 +172,8 @@ def links(classes: DataFrame, budget: int = 3, agree: int = 1, crowd: int = 100_
     """Edges (a, b) between fingerprints of `classes` (fp) that span all components within the budget.
 
     With budget + agree blocks, two fingerprints within the budget agree on `agree` blocks at least: more blocks to
-    agree on give more, smaller buckets.
+    agree on give more, smaller buckets. Fingerprints of several kinds (a column kind) meet their own kind only, which
+    then stands in the edges.
     """
     spark = classes.sparkSession
     blocks = budget + agree
@@ -180,7 +181,9 @@ def links(classes: DataFrame, budget: int = 3, agree: int = 1, crowd: int = 100_
     pick = lambda k: F.shiftrightunsigned("fp", edge[k]).bitwiseAND((1 << edge[k + 1] - edge[k]) - 1)
     chosen = list(itertools.combinations(range(blocks), agree))
     value = [reduce(lambda x, k: F.shiftleft(x, edge[k + 1] - edge[k]).bitwiseOR(pick(k)), c[1:], pick(c[0])) for c in chosen]
-    part = F.explode(F.array(*[F.struct(F.lit(k).alias("block"), v.alias("value")) for k, v in enumerate(value)]))
+    kinds = "kind" in classes.columns
+    number = lambda k: F.col("kind") * len(chosen) + k if kinds else F.lit(k)
+    part = F.explode(F.array(*[F.struct(number(k).alias("block"), v.alias("value")) for k, v in enumerate(value)]))
     dealt = classes.select("fp", part.alias("p")).select("fp", "p.block", "p.value")
     crowded = tx.stored(dealt.groupBy("block", "value").agg(F.count("*").alias("n")).filter(F.col("n") > crowd), "crowded")
     if not crowded.isEmpty():
@@ -204,10 +207,14 @@ def links(classes: DataFrame, budget: int = 3, agree: int = 1, crowd: int = 100_
         order = np.lexsort((fp, group))
         fp, group = fp[order], group[order]
         i, j = trie_join(group, fp, budget)
-        yield pa.RecordBatch.from_arrays([pa.array(fp[i].view(np.int64)), pa.array(fp[j].view(np.int64))], ["a", "b"])
+        found = [pa.array(fp[i].view(np.int64)), pa.array(fp[j].view(np.int64))]
+        if kinds:
+            found.append(pa.array(table.column(2).to_numpy()[order][i]))
+        yield pa.RecordBatch.from_arrays(found, ["a", "b", "kind"][: len(found)])
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.select("fp", F.xxhash64(*keys).alias("task")).repartition(n, "task").mapInArrow(run, "a long, b long")
+    also = [F.floor(F.col("block") / len(chosen)).cast("int").alias("kind")] if kinds else []
+    return dealt.select("fp", F.xxhash64(*keys).alias("task"), *also).repartition(n, "task").mapInArrow(run, "a long, b long" + (", kind int" if kinds else ""))
 
 
 def near_dedup(docs: DataFrame, shingle: int = 3, budget: int = 3, agree: int = 1) -> DataFrame:
@@ -235,54 +242,138 @@ def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
     return np.unique(x)
 
 
-def _similarity(shingle: int):
+@lru_cache
+def _hashes(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """What `n` hashes flip and multiply by."""
+    flip, factor = np.random.default_rng(17).integers(0, 1 << 63, (2, n, 1), dtype=np.uint64)
+    return flip, factor << np.uint64(1) | np.uint64(1)
+
+
+def minwise_fingerprints(found: np.ndarray, kinds: int) -> np.ndarray:
+    """`kinds` fingerprints of a shingle set: a bit of the least shingle under each of 64 hashes a fingerprint.
+
+    Two sets differ in each bit with half of one minus their Jaccard similarity, whatever was edited.
+    """
+    if not len(found):
+        return np.zeros(kinds, np.uint64)
+    flip, factor = _hashes(kinds * BITS)
+    least = np.full(kinds * BITS, np.iinfo(np.uint64).max)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(found), 4096):
+            np.minimum(least, ((found[at : at + 4096] ^ flip) * factor).min(axis=1), out=least)
+    bits = (tx.mix(least) & np.uint64(1)).astype(np.uint8)
+    return np.packbits(bits.reshape(kinds, BITS), axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
+def _minwise(texts: DataFrame, shingle: int, kinds: int) -> DataFrame:
+    """(doc_id, kind, fp) of every row of (doc_id, text)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
         for batch in batches:
-            out = []
-            for a, b in zip(batch.column(1), batch.column(2), strict=True):
-                a, b = a.as_py() or b"", b.as_py() or b""
-                if last is None or b != last:
-                    last, held = b, shingle_set(b, shingle)
-                x = shingle_set(a, shingle)
-                both = len(np.intersect1d(x, held, assume_unique=True))
-                union = len(x) + len(held) - both
-                out.append(both / union if union else 1.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["doc_id", "similarity"])
+            found = [minwise_fingerprints(shingle_set(t.as_py(), shingle), kinds) for t in batch.column(1)]
+            fp = np.concatenate([np.zeros(0, np.uint64), *found])
+            ids = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), kinds)))
+            kind = np.tile(np.arange(kinds, dtype=np.int32), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(kind), pa.array(fp.view(np.int64))], ["doc_id", "kind", "fp"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, kind int, fp long")
+
+
+def candidates(texts: DataFrame, shingle: int, budget: int, kinds: int) -> DataFrame:
+    """(doc_id, leader): components, by their smallest id, of rows with a fingerprint of a kind within the budget."""
+    marked = tx.stored(_minwise(texts, shingle, kinds), "fingerprints")
+    classes = tx.stored(marked.groupBy("kind", "fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
+    few = classes.select("kind", "fp", "least")
+    near = links(classes.select("fp", "kind"), budget, agree=2).distinct()
+    near = near.join(few.withColumnsRenamed({"fp": "a", "least": "x"}), ["kind", "a"]).join(few.withColumnsRenamed({"fp": "b", "least": "y"}), ["kind", "b"]).select("x", "y")
+    same = marked.join(classes.filter("n > 1").select("kind", F.col("fp").bitwiseXOR(F.lit(0).cast("long")).alias("fp"), "least"), ["kind", "fp"]).select(F.col("doc_id").alias("x"), F.col("least").alias("y"))
+    found = components(near.unionByName(same).toDF("a", "b"))
+    return found.select(F.col("node").alias("doc_id"), F.col("root").alias("leader")).unionByName(found.select(F.col("root").alias("doc_id"), F.col("root").alias("leader")).distinct())
+
+
+def linked(ids: np.ndarray, sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """The smallest id that each row reaches over pairs of shingle sets with this Jaccard similarity or more.
+
+    A row is counted against all others at once over the shingles they share; all rows are, unless all are one
+    already. Rows of one id are one; sets without shingles are alike.
+    """
+    n, size = len(ids), np.array([len(x) for x in sets])
+    label = np.unique(ids, return_inverse=True)[1]
+    if (size == 0).any():
+        label[np.isin(label, label[size == 0])] = label[size == 0].min()
+    keys, owner = np.concatenate(sets), np.repeat(np.arange(n), size)
+    order = np.argsort(keys, kind="stable")
+    ranked, holder = keys[order], owner[order]
+    lo, hi = np.searchsorted(ranked, keys, "left"), np.searchsorted(ranked, keys, "right")
+    first = np.cumsum(size) - size
+    for x in range(n):
+        if (label == label[0]).all():
+            break
+        a, b = lo[first[x] : first[x] + size[x]], hi[first[x] : first[x] + size[x]]
+        many = b - a
+        place = np.repeat(a - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        both = np.bincount(holder[place], minlength=n)
+        union = size[x] + size - both
+        alike = np.flatnonzero((both > 0) & (both >= similarity * union - 1e-9))
+        if len(alike):
+            label[np.isin(label, label[alike])] = label[alike].min()
+    return np.unique(ids)[label]
+
+
+def _verified(shingle: int, similarity: float):
+    """Rows (task, leader, whole, doc_id, text), sorted by task, to (a, b, whole): each id with the smallest it reaches in its task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def edges() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1:
+                ids = np.array([i for i, _ in held])
+                least = linked(ids, [x for _, x in held], similarity)
+                moved = ids != least
+                yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(least[moved]), pa.array(np.full(moved.sum(), now[2]))], ["a", "b", "whole"])
+
+        for batch in batches:
+            for task, leader, whole, doc, text in zip(*batch.columns, strict=True):
+                if now != (key := (task.as_py(), leader.as_py(), whole.as_py())):
+                    yield from edges()
+                    now, held = key, []
+                held.append((doc.as_py(), shingle_set(text.as_py(), shingle)))
+        yield from edges()
 
     return run
 
 
-def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, budget: int = 8, rounds: int = 3) -> DataFrame:
-    """`docs` without near copies: of each group one row stays, in all its columns.
+def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, budget: int = 8, kinds: int = 4, crowd: int = 1000, room: int = 32 << 20) -> DataFrame:
+    """`docs` without near copies: of each group one row, that of the smallest id, stays in all its columns.
 
-    Fingerprints of distinct words propose components: at a similarity of 0.8 over five-word shingles an edit
-    changes five shingles and one word, so words keep copies within few bits. Equal texts go at once. Each other member is then held against its
-    component's smallest doc_id on whole word shingles. Two texts linked to a third at `similarity` are at least
-    2 * similarity - 1 alike; a member that is goes, any other enters the next round among its like. After `rounds`
-    what is left stays. Texts without words are alike; null ids stay.
+    Equal texts go at once. Of the others, fingerprints of the shingle sets propose components. In each, every pair of
+    rows not yet in one group is held against each other on whole shingle sets; pairs alike by `similarity` or more
+    are the links of the groups. A component of over `crowd` rows or `room` bytes is dealt out as pairs of hashed
+    portions: every pair still meets. Texts without words are alike; null ids stay.
     """
-    marked = near_dedup(docs, 0, budget, agree=2).filter("doc_id is not null").select("doc_id", F.col("component_id").alias("leader"))
+    spark = docs.sparkSession
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")).alias("text"))
     keyed = tx.stored(texts.select("doc_id", F.sha2("text", 256).alias("digest")), "digests")
     least = keyed.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1").select("digest", "least")
     equal = keyed.join(tx.dealt_anew(least, "digest"), "digest").filter("doc_id > least").select(F.col("doc_id").alias("_gone")).distinct()
     gone = tx.stored(equal, "equal")
-    open_ = marked.filter("doc_id <> leader").distinct()
-    open_ = tx.stored(open_.join(gone, open_["doc_id"] == gone["_gone"], "left_anti"), "members")
-    for step in range(rounds):
-        led = texts.join(open_.select(F.col("leader").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("other"))
-        led = tx.dealt_anew(led.withColumnRenamed("doc_id", "leader"), "leader")
-        pairs = texts.join(open_, "doc_id").join(led, "leader").select("doc_id", "text", "other")
-        alike = pairs.mapInArrow(_similarity(shingle), "doc_id long, similarity double").groupBy("doc_id").agg(F.max("similarity").alias("similarity"))
-        judged = tx.stored(open_.join(alike, "doc_id"), "judged")
-        found = judged.filter(F.col("similarity") >= 2 * similarity - 1).select(F.col("doc_id").alias("_gone"))
-        gone = gone.unionByName(found)
-        rest = judged.filter(F.col("similarity") < 2 * similarity - 1).select("doc_id", F.col("leader").alias("old"))
-        least = rest.groupBy("old").agg(F.min("doc_id").alias("leader"))
-        open_ = tx.stored(rest.join(tx.dealt_anew(least, "old"), "old").filter("doc_id <> leader").select("doc_id", "leader"), "members")
-        if step + 1 < rounds and open_.isEmpty():
-            break
+    rest = texts.join(gone, texts["doc_id"] == gone["_gone"], "left_anti")
+    open_ = tx.stored(candidates(rest, shingle, budget, kinds), "members")
+    members = rest.join(open_, "doc_id")
+    size = members.groupBy("leader").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    size = tx.stored(size.select("leader", F.greatest(F.ceil(F.col("n") / crowd), F.ceil(F.col("bytes") / room), F.lit(1)).cast("int").alias("portions")), "sizes")
+    mine = F.pmod(F.xxhash64("doc_id"), F.col("portions")).cast("int")
+    meets = F.when(F.col("portions") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("portions") - 1), lambda k: k != mine))
+    dealt = members.join(size, "leader").select("leader", "portions", mine.alias("mine"), "doc_id", "text", F.explode(meets).alias("other"))
+    dealt = dealt.select(F.xxhash64("leader", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"), "leader", (F.col("portions") == 1).alias("whole"), "doc_id", "text")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(n, "task").sortWithinPartitions("task", "leader")
+    found = tx.stored(dealt.mapInArrow(_verified(shingle, similarity), "a long, b long, whole boolean"), "verified")
+    gone = gone.unionByName(found.filter("whole").select(F.col("a").alias("_gone")))
+    parted = found.filter("not whole")
+    if not parted.isEmpty():
+        gone = gone.unionByName(components(parted.select("a", "b")).select(F.col("node").alias("_gone")))
     # rows that repeat an id are copies of one document: the first of equal rows is enough
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 

@@ -215,6 +215,43 @@ def test_representatives(docs, texts):
     assert len(kept & set(near)) == 1 and {6, 7, 8} <= kept and not kept & set(range(52, 58))
 
 
+def _jaccard(a, b, k=5):
+    a, b = ({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set() for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def _brute_groups(texts, similarity=0.8):
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if _jaccard(texts[i], texts[j]) >= similarity:
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    return root
+
+
+@pytest.mark.parametrize("room", [32 << 20, 1000])
+def test_representatives_of_many_families(spark, room):
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(150)]
+    texts = []
+    for _ in range(7):  # the same words in seven orders: near in words, far in shingles
+        r.shuffle(words)
+        texts.append(" ".join(words))
+        for k in (20, 75, 130):
+            texts.append(" ".join([*words[:k], "edit", *words[k + 1 :]]))
+    order = list(range(len(texts)))
+    r.shuffle(order)
+    texts = [texts[i] for i in order]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(set(_brute_groups(texts)))
+    assert len(want) == 7
+    assert sorted(x.doc_id for x in simhash.representatives(df, room=room).collect()) == want
+    # all in one component, in one task and in portions
+    ids, sets = np.arange(len(texts)), [simhash.shingle_set(t.encode(), 5) for t in texts]
+    assert simhash.linked(ids, sets, 0.8).tolist() == _brute_groups(texts)
+
+
 def test_exact(docs, texts, none):
     norm = {i: exact_dedup.tx.normalised(t) for i, t in texts.items()}
     by = {}
