@@ -259,8 +259,8 @@ def minwise_fingerprints(found: np.ndarray, kinds: int) -> np.ndarray:
     flip, factor = _hashes(kinds * BITS)
     least = np.full(kinds * BITS, np.iinfo(np.uint64).max)
     with np.errstate(over="ignore"):
-        for at in range(0, len(found), 4096):
-            np.minimum(least, ((found[at : at + 4096] ^ flip) * factor).min(axis=1), out=least)
+        for at in range(0, len(found), 256):
+            np.minimum(least, ((found[at : at + 256] ^ flip) * factor).min(axis=1), out=least)
     bits = (tx.mix(least) & np.uint64(1)).astype(np.uint8)
     return np.packbits(bits.reshape(kinds, BITS), axis=1, bitorder="little").view(np.uint64)[:, 0]
 

@@ -252,6 +252,34 @@ def test_representatives_of_many_families(spark, room):
     assert simhash.linked(ids, sets, 0.8).tolist() == _brute_groups(texts)
 
 
+def _edited(r, words, fresh, block):
+    """A copy with up to a fifth of its shingles new: words scattered, or a block put in."""
+    out = list(words)
+    if block:
+        at = r.randrange(len(out))
+        out[at:at] = [fresh() for _ in range(r.randint(1, int(0.24 * len(words))))]
+    else:
+        for at in r.sample(range(len(out)), r.randint(1, max(1, len(words) // 45))):
+            out[at] = fresh()
+    return out
+
+
+def test_near_copy_recall():
+    r = random.Random(19)
+    fresh = lambda: f"n{r.randrange(10**6)}"
+    for block in (False, True):
+        met = total = 0
+        while total < 300:
+            a = [fresh() for _ in range(r.randint(30, 200))]
+            x, y = " ".join(a), " ".join(_edited(r, a, fresh, block))
+            if _jaccard(x, y) < 0.8:
+                continue
+            one, two = (simhash.minwise_fingerprints(simhash.shingle_set(t.encode(), 5), 4) for t in (x, y))
+            met += np.bitwise_count(one ^ two).min() <= 8
+            total += 1
+        assert met >= 0.99 * total
+
+
 def test_exact(docs, texts, none):
     norm = {i: exact_dedup.tx.normalised(t) for i, t in texts.items()}
     by = {}
