@@ -280,6 +280,19 @@ def test_near_copy_recall():
         assert met >= 0.99 * total
 
 
+def test_loosely_alike_documents_stay(spark):
+    base = [f"w{i}" for i in range(104)]  # 100 shingles
+    change = lambda w, at: [*w[:at], f"edit{at}", *w[at + 1 :]]
+    loose = base
+    for at in (10, 30, 50):  # 15 shingles of 100 changed: 0.74
+        loose = change(loose, at)
+    one = change(change(base, 70), 90)  # 0.82 to the base, 0.74 to what follows once more
+    texts = [" ".join(w) for w in (base, loose, one, change(change(one, 10), 30))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert _jaccard(texts[0], texts[1]) < 0.8 <= _jaccard(texts[0], texts[2]) and _jaccard(texts[0], texts[3]) < 0.8 <= _jaccard(texts[2], texts[3])
+    assert sorted(x.doc_id for x in simhash.representatives(df).collect()) == sorted(set(_brute_groups(texts))) == [0, 1]
+
+
 def test_exact(docs, texts, none):
     norm = {i: exact_dedup.tx.normalised(t) for i, t in texts.items()}
     by = {}
