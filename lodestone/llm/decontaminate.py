@@ -5,7 +5,8 @@
    iterations and the final factorisation are sums over partitions of the passages, joined pairwise.
 3. Every document passage (`WINDOW` words, every `STRIDE` words, whole texts) is projected; pairs of passages with a
    cosine of `COSINE` or more are candidates. Passages whose words are hardly known to any item (less than that share of the passage's length)
-   are left at once.
+   are left at once. The cosine is no bound for the rule of step 4, so every (document, item) where enough of the
+   item's words stand near each other for the rule to hold (`Gate`) is a candidate too: no leak of step 4 is missed.
 4. Each candidate is checked on the words: the longest common subsequence of item and the text around the passage,
    and whether the item's answer (its last sentence) stands there verbatim. A leak has `LCS` of the item's words in
    order, or `LCS_ANSWER` and the answer; items below `SHORT` words must stand there word by word.
@@ -35,6 +36,8 @@ COSINE = 0.45
 LCS, LCS_ANSWER, SHORT = 0.75, 0.5, 8
 ITEMS = 4096
 _STRIP = b".,;:!?\"'()[]{}"
+_STRIPPED = np.zeros(256, bool)
+_STRIPPED[list(_STRIP)] = True
 
 
 def _texts(df: DataFrame, key: str) -> DataFrame:
@@ -187,6 +190,68 @@ class Item:
         return share, answer, share >= LCS or share >= LCS_ANSWER and answer
 
 
+def _stripped(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word as `_words` cuts it, words per text)."""
+    starts, ends, rows = tx.word_spans(data, offsets)
+    a, b = starts.copy(), ends.copy()
+    for at, step in ((a, 1), (b, -1)):
+        todo = np.flatnonzero(a < b)
+        while len(todo):
+            todo = todo[_STRIPPED[data[at[todo] - (step < 0)]]]
+            at[todo] += step
+            todo = todo[a[todo] < b[todo]]
+    none = a >= b
+    a[none], b[none] = starts[none], ends[none]
+    return tx.word_hashes(data, a, b, lower=True), rows
+
+
+class Gate:
+    """Finds the stretches of text in which an item's words are many enough for its check to succeed.
+
+    A stretch is twice as long as the longest text that is held against an item, and begins that length after the
+    one before: each such text lies in the stretch it begins in. In it, the words of the item that occur bound the
+    common subsequence, and the answer's distinct words must all occur.
+    """
+
+    def __init__(self, items: list[Item]):
+        self.span = max(2 * len(x.words) for x in items) + WINDOW
+        n = np.array([len(x.words) for x in items])
+        self.size, self.short = n, n < SHORT
+        joined = b" ".join(w for x in items for w in x.words)
+        data = np.frombuffer(joined, np.uint8)
+        starts, ends, _ = tx.word_spans(data, np.array([0, len(data)]))
+        hashes, owner = tx.word_hashes(data, starts, ends, lower=True), np.repeat(np.arange(len(items)), n)
+        answer = np.array([w in part for x in items for part in (set(x.answer),) for w in x.words], bool)
+        self.vocabulary, word = np.unique(hashes, return_inverse=True)
+        pair, place = np.unique(word * len(items) + owner, return_inverse=True)
+        self.owner, self.count = pair % len(items), np.bincount(place)
+        self.answers = np.bincount(place, answer) > 0
+        self.first = np.searchsorted(pair // len(items), np.arange(len(self.vocabulary) + 1))
+        self.answer = np.bincount(self.owner, self.answers, len(items)).astype(np.int64)
+
+    def found(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, number of the stretch, item)."""
+        hashes, rows = _stripped(data, offsets)
+        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        known = np.flatnonzero(self.vocabulary[at] == hashes)
+        stretches = -(-rows // self.span)
+        base, of = np.cumsum(stretches) - stretches, np.repeat(np.arange(len(rows)), rows)[known]
+        number = (known - (np.cumsum(rows) - rows)[of]) // self.span
+        own = base[of] + number
+        also = number > 0
+        key = np.unique(np.concatenate([own, own[also] - 1]) * len(self.vocabulary) + np.concatenate([at[known], at[known][also]]))
+        word, stretch = key % len(self.vocabulary), key // len(self.vocabulary)
+        many = self.first[word + 1] - self.first[word]
+        place = np.repeat(self.first[word] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        cell, shape = np.repeat(stretch, many) * len(self.size) + self.owner[place], (int(stretches.sum()), len(self.size))
+        count = np.bincount(cell, self.count[place], shape[0] * shape[1]).reshape(shape)
+        answered = np.bincount(cell, self.answers[place], shape[0] * shape[1]).reshape(shape) >= np.maximum(self.answer, 1)
+        enough = np.where(self.short, count >= self.size, (count >= LCS * self.size) | (count >= LCS_ANSWER * self.size) & answered)
+        i, j = np.nonzero(enough)
+        text = np.searchsorted(base, i, "right") - 1
+        return text, i - base[text], j
+
+
 def _search(docs: DataFrame, items: DataFrame, idf: np.ndarray, only_candidates: bool) -> DataFrame:
     spark = docs.sparkSession
     known, space = latent_space(items, idf)
@@ -209,6 +274,8 @@ def _search(docs: DataFrame, items: DataFrame, idf: np.ndarray, only_candidates:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, number_, power, vectors_, owner_, rows_ = shared.value
         checks = [Item(t) for _, t in rows_]
+        worded = np.flatnonzero([bool(x.words) for x in checks])
+        gate = Gate([checks[i] for i in worded])
         for batch in batches:
             data, offsets = tx.binary_column(batch, "text")
             ids, out = batch.column(0), []
@@ -256,6 +323,23 @@ def _search(docs: DataFrame, items: DataFrame, idf: np.ndarray, only_candidates:
                         found = checks[item].check(texts[doc][max(0, at - reach) : at + WINDOW + reach])
                     if found[2] and ((doc, item) not in best or best[doc, item][1::-1] < (found[0], cos)):
                         best[doc, item] = (cos, *found)
+                near = zip(*(x.tolist() for x in gate.found(part, off)), strict=True) if not only_candidates else ()
+                for doc, stretch, item in near:
+                    item = int(worded[item])
+                    if doc not in texts:
+                        texts = {doc: _words(part[off[doc] : off[doc + 1]].tobytes())}
+                    reach, low = len(checks[item].words), stretch * gate.span
+                    if not checks[item].check(texts[doc][low : low + 2 * gate.span])[2]:
+                        continue
+                    for at in range(low + reach + -(low + reach) % STRIDE if low else 0, min(low + gate.span + reach, int(size[doc])), STRIDE):
+                        found = checks[item].check(texts[doc][max(0, at - reach) : at + WINDOW + reach])
+                        if found[2]:
+                            place = np.arange(first[doc] + at, first[doc] + min(at + WINDOW, int(size[doc])))
+                            word = where[place]
+                            cos = vectors_[owner_ == item] @ table[np.where(word >= 0, word, len(table) - 1)].sum(0) / np.sqrt(power[bucket[place]].sum())
+                            cos = float(cos.max(initial=0))
+                            if (doc, item) not in best or best[doc, item][1::-1] < (found[0], cos):
+                                best[doc, item] = (cos, *found)
                 out += [(a + doc, rows_[item][0], cos, share, answer) for (doc, item), (cos, share, answer, _) in best.items()]
             if out:
                 c = list(zip(*out, strict=True))
@@ -265,7 +349,10 @@ def _search(docs: DataFrame, items: DataFrame, idf: np.ndarray, only_candidates:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, only_candidates: bool = False) -> DataFrame:
-    """(doc_id, item_id, cosine, lcs, answer): every document that contains a benchmark item, or a paraphrase."""
+    """(doc_id, item_id, cosine, lcs, answer): every document that contains a benchmark item, or a paraphrase.
+
+    With `only_candidates`, what the latent search alone proposes.
+    """
     idf = inverse_frequencies(docs)
     n = benchmark.count()
     blocks = max(1, -(-n // ITEMS))

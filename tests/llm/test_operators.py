@@ -346,6 +346,31 @@ def test_decontamination(spark):
     assert decontaminate.clean(docs, bench).filter("doc_id is null").count() == 1
 
 
+def test_decontamination_finds_what_the_rule_accepts(spark):
+    r = random.Random(29)
+    rare = lambda n: ["".join(r.choice("abcdefgh") for _ in range(7)) for _ in range(n)]
+    common = [f"c{i}" for i in range(12)]
+    items = [rare(5), rare(6), [r.choice(common) for _ in range(15)], [*rare(44), "end.", *rare(4)], rare(90)]
+    texts = []
+    for _ in range(12):
+        for k, item in enumerate(items):
+            part = [w for i, w in enumerate(item) if k < 3 or i % 2 or k == 3 and i > 44 or k == 4 and i % 8 > 1]
+            texts.append(" ".join([*rare(r.randint(0, 70)), *part, *rare(r.randint(20, 60))]).replace(part[0], f'"{part[0].upper()},', 1))
+        texts.append(" ".join([*rare(60), *(r.choice(common) for _ in range(30))]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    want = set()
+    for d, text in enumerate(texts):
+        words = decontaminate._words(text.encode())
+        for i, item in enumerate(items):
+            check, n = decontaminate.Item(" ".join(item).encode()), len(item)
+            if any(check.check(words[max(0, at - n) : at + decontaminate.WINDOW + n])[2] for at in range(0, len(words), decontaminate.STRIDE)):
+                want.add((d, i))
+    assert {(6 * k + i, i) for k in range(12) for i in range(5)} <= want
+    assert {(x.doc_id, x.item_id) for x in decontaminate.leaks(docs, bench).collect()} == want
+    assert len({(x.doc_id, x.item_id) for x in decontaminate.leaks(docs, bench, only_candidates=True).collect()} & want) < len(want)
+
+
 def test_lcs():
     assert decontaminate.lcs(list("abcbdab"), list("bdcaba")) == 4 and decontaminate.lcs(["a"], []) == 0
 
