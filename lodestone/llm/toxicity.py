@@ -6,8 +6,10 @@ Filters of several widths run over the sequence, the greatest response of each f
 kept, and a logistic layer scores these. All of it is trained here, in numpy, by Adam on log loss from a bounded
 sample of labelled rows (`TRAIN_ROWS`, half of each label where there are enough, chosen by a hash of the id);
 whole texts are used for training and scoring. A bias fitted on the sample's true label shares undoes the
-balancing. Thresholds are calibrated per language on held-back training rows: the lowest score at which the
-language's false positives stay within `MAX_FALSE`; the language picks the threshold, never enters the score.
+balancing. Thresholds are calibrated per language on all clean labelled rows that were not fitted on (a fifth of
+the sample, by a hash of the id, and all rows outside it): the lowest score at which the language's false positives
+stay within `MAX_FALSE`; the language picks the threshold, never enters the score. A language with too few clean
+rows for one of them to be within `MAX_FALSE` takes the common threshold, so no single row sets one.
 
 Defined results: null and empty texts are one padding word; without labelled rows of both kinds every score is
 the share of label 1 (0.5 without rows); null labels are left out; an unknown language takes the common threshold.
@@ -16,6 +18,7 @@ the share of label 1 (0.5 without rows); null labels are left out; an unknown la
 from __future__ import annotations
 
 import pickle
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +36,7 @@ PREFIXES = (3, 4, 5, 6, 7)
 DROPPED = 0.4
 STEPS = 500  # at least, on small samples
 MAX_FALSE = 0.005
+GRAIN = 10_000  # thresholds are multiples of 1 / GRAIN
 CUT = 0.7
 _EDGE = np.zeros(256, bool)
 _EDGE[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
@@ -192,46 +196,66 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> tuple[
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> tuple[Network, dict]:
-    """The network and its thresholds by language (None: common), fitted in one task on the bounded sample.
+    """The network, fitted in one task on the bounded sample, and its thresholds by language (None: common).
 
     The driver gets the weights only; a lost executor's task starts again and gives the same weights.
     """
     rows, share = sampled(docs, labels, "toxic", limit)
+    if rows is None:
+        return fitted([], share), {None: CUT}
+    used = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(5)) != 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
         if held:
-            net, limits = fitted(ordered(held), share)
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((net.__dict__, limits))], pa.binary())], ["model"])
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fitted(ordered(held), share).__dict__)], pa.binary())], ["model"])
 
-    found = rows.repartition(1).mapInArrow(run, "model binary").collect() if rows is not None else []
+    found = used.repartition(1).mapInArrow(run, "model binary").collect()
     if not found:
-        return fitted([], share)
+        return fitted([], share), {None: CUT}
     net = Network.__new__(Network)
-    state, limits = pickle.loads(bytes(found[0]["model"]))
-    net.__dict__.update(state)
-    return net, limits
-
-
-def fitted(rows: list[tuple], share: float) -> tuple[Network, dict]:
-    """The network of (text, label, lang) rows; every fifth is held back for the thresholds."""
+    net.__dict__.update(pickle.loads(bytes(found[0]["model"])))
+    if net.constant is not None:
+        return net, {None: CUT}
+    clean = labels.groupBy("doc_id").agg(F.max(F.when(F.col("toxic").isin(0, 1), F.col("toxic"))).alias("label")).filter("label = 0").select("doc_id")
+    clean = clean.join(F.broadcast(used.select("doc_id").distinct()), "doc_id", "left_anti")  # at most `limit` ids
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    scored = score(docs.select("doc_id", "text", lang.alias("lang")), net, {None: CUT}).select("doc_id", "lang", "_score")
+    return net, thresholds(scored.join(clean, "doc_id"))
+
+
+def thresholds(clean: DataFrame) -> dict:
+    """The thresholds by language (None: common) over the (lang, _score) of all clean rows."""
+    count = clean.groupBy("lang", F.floor(F.col("_score") * GRAIN).cast("long").alias("at")).agg(F.count("*").alias("n"))
+    count = count.groupBy("lang").agg(F.collect_list(F.struct("at", "n")).alias("c"))  # GRAIN + 1 pairs at most
+    common, limits = Counter(), {}
+
+    def above(counts: dict, false: int) -> float:
+        """The lowest threshold that at most `false` rows reach."""
+        for at in sorted(counts, reverse=True):
+            false -= counts[at]
+            if false < 0:
+                return float(min(max(CUT, (at + 1) / GRAIN), 0.999))
+        return CUT
+
+    for row in count.toLocalIterator():
+        counts = {x["at"]: x["n"] for x in row["c"]}
+        common.update(counts)
+        false = int(MAX_FALSE * sum(counts.values()))
+        if row["lang"] is not None and false:
+            limits[row["lang"]] = above(counts, false)
+    n = sum(common.values())
+    limits[None] = above(common, max(1, int(MAX_FALSE * n))) if n >= 20 else CUT
+    return limits
+
+
+def fitted(rows: list[tuple], share: float) -> Network:
+    """The network of (text, label, lang) rows."""
     net = Network()
     if len({y for _, y, _ in rows}) < 2:
         net.constant = share
-        return net, {None: CUT}
-    y = np.array([r[1] for r in rows], np.float32)
-    back = np.arange(len(rows)) % 5 == 4
-    net.fit([r[0] for r, b in zip(rows, back, strict=True) if not b], y[~back], share)
-    held = [r for r, b in zip(rows, back, strict=True) if b]
-    texts = b"".join(r[0] for r in held)
-    score = net.scores(np.frombuffer(texts, np.uint8), np.concatenate([[0], np.cumsum([len(r[0]) for r in held])]).astype(np.int64))
-    limits = {}
-    for lang in [None, *sorted({r[2] for r in held if r[2] is not None})]:
-        own = np.array([lang is None or r[2] == lang for r in held])
-        clean = np.sort(score[own & (y[back] == 0)])
-        above = clean[int(np.ceil((1 - MAX_FALSE) * len(clean))) - 1] if len(clean) >= 20 else 0.0
-        limits[lang] = float(min(max(CUT, np.nextafter(above, 1)), 0.999))
-    return net, limits
+        return net
+    return net.fit([r[0] for r in rows], np.array([r[1] for r in rows], np.float32), share)
 
 
 def score(docs: DataFrame, net: Network, limits: dict) -> DataFrame:

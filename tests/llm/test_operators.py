@@ -394,3 +394,25 @@ def test_toxicity(spark):
     assert len(got) == 1802 and sum((got[i] >= 0.5) == (i % 5 == 0) for i in held) >= 0.95 * len(held)
     bare, limits = toxicity.train(docs, lab.filter(F.lit(False)))
     assert {x._score for x in toxicity.score(docs, bare, limits).collect()} == {0.5}
+
+
+def test_toxicity_thresholds(spark):
+    r = random.Random(31)
+    rows = [("en", r.random() * 0.8) for _ in range(5000)] + [("fr", 0.1 + i / 1000) for i in range(50)] + [("fr", 0.9999)]
+    rows += [("de", 0.75 + i / 10_000) for i in range(400)] + [("de", 0.9999)] + [("it", 0.2)] * 3
+    got = toxicity.thresholds(spark.createDataFrame(rows, "lang string, _score double"))
+    for lang in ("en", "de"):  # over all rows, one odd row moves nothing
+        own = [s for x, s in rows if x == lang]
+        false = int(toxicity.MAX_FALSE * len(own))
+        assert sum(s >= got[lang] for s in own) <= false < sum(s >= got[lang] - 2 / toxicity.GRAIN for s in own)
+    assert got["de"] < 0.8 and "fr" not in got and "it" not in got and got[None] < 0.8
+
+
+def test_toxicity_thresholds_see_rows_outside_the_sample(spark):
+    rows = [(i, f"zork{i % 7} bad" if i % 4 == 0 else f"calm{i % 9} word", "en") for i in range(400)]
+    rows += [(1000 + i, f"zork{i % 7} calm", "fr") for i in range(600)]  # clean, though the stem is toxic in English
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i < 400 and i % 4 == 0)) for i, _, _ in rows], "doc_id long, toxic int")
+    net, limits = toxicity.train(docs, labels, limit=40)
+    scored = toxicity.score(docs, net, limits).filter("doc_id >= 1000 and _flagged")
+    assert scored.count() <= 2 * toxicity.MAX_FALSE * 600 + 20  # the fitted rows aside
