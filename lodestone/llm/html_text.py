@@ -3,9 +3,9 @@
 A page is cut into lines at block tags. Every line weighs its characters outside links; lines of scripts, styles,
 menus, headers, footers, sidebars, notices, adverts, forms and reader comments weigh nothing, which an element's
 name, role or class tells. The weights of `WINDOW` lines after each other are summed; where this sum surges from
-zero a run of main text begins, where it dives to zero it ends, and the lines between are kept. In a page with an
-article or main element every line in it weighs at least one, so that all of its runs count; in other pages a run
-counts when its greatest sum reaches `SHARE` of the page's greatest.
+zero a run of main text begins, where it dives to zero it ends, and the lines between are kept, in pages without
+an article or main element also those of links alone. In a page with such an element every line in it weighs at
+least one and the lines outside weigh nothing. Every run counts, however long the page's others are.
 
 Defined results: null and empty pages, and pages without text, give the empty string; unclosed elements end with
 their parent; broken markup is read as far as a browser would, and unknown references stay as they are.
@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from lodestone.llm import textops as tx
 
 WINDOW = 3
-SHARE = 0.2
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 SKIPPED = frozenset("nav footer aside form menu dialog button select option textarea template svg math noscript iframe object canvas audio video map head title".split())
@@ -119,10 +118,10 @@ def main_text(page: str | None) -> str:
         return ""
     found = lines(page)
     weights = [w for _, w, _ in found]
-    if any(m for _, _, m in found):
+    whole = not any(m for _, _, m in found)
+    if not whole:
         weights = [w if m else 0 for w, (_, _, m) in zip(weights, found, strict=True)]
     sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
-    need = 1 if any(m for _, _, m in found) else SHARE * max(sums, default=0)
     kept, i, n = [], 0, len(weights)
     while i < n:
         if not sums[i] or not weights[i]:
@@ -131,8 +130,8 @@ def main_text(page: str | None) -> str:
         j = i  # a surge: the run lasts until the window's sum dives to zero
         while j < n and sums[j]:
             j += 1
-        if max(sums[i:j]) >= need:
-            kept += [t for t, w, _ in found[i:j] if w]
+        last = max(k for k in range(i, j) if weights[k])
+        kept += [found[k][0] for k in range(i, last + 1) if weights[k] or whole and found[k][0]]
         i = j
     return "\n".join(kept)
 

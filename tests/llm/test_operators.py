@@ -329,6 +329,14 @@ def test_html():
     assert html_text.main_text("plain words") == "plain words"
 
 
+@pytest.mark.parametrize("length", [3000, 50_000])
+def test_html_without_article(length):
+    long = ("word " * (length // 5)).strip()
+    menu = "<ul>" + "".join(f"<li><a href=x{i}>Link {i}</a></li>" for i in range(4)) + "</ul>"
+    page = f"<body><div class=nav>Home</div><p>Short one.</p>{menu}<p>{long}</p>{menu}<p>Second short.</p><p><a href=y>See the report</a></p><p>Third.</p><div class=ad>Buy</div><footer>foot</footer></body>"
+    assert html_text.main_text(page).split("\n") == ["Short one.", long, "Second short.", "See the report", "Third."]
+
+
 def test_decontamination(spark):
     r = random.Random(5)
     make = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
