@@ -10,9 +10,11 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -159,6 +161,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, value)
 
 
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """pyarrow's file system for a folder of ours, and the path in it."""
+    if urlparse(uri).scheme in ("", "file"):
+        return fs.LocalFileSystem(), urlparse(uri).path
+    return fs.FileSystem.from_uri(uri)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share; one of our own only where none is set."""
     small_batches(spark)

@@ -22,7 +22,6 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +42,6 @@ _STARTED: dict[str, Encoder] = {}  # one per Python worker, kept between tasks
 _PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,!?;:|%&*$#()-]*)")
 
 
-def file_system(uri: str) -> tuple[fs.FileSystem, str]:
-    if urlparse(uri).scheme in ("", "file"):
-        return fs.LocalFileSystem(), urlparse(uri).path
-    return fs.FileSystem.from_uri(uri)
-
-
 class Encoder:
     """Encodes words through the tokenizers library and keeps what each distinct word gave.
 
@@ -164,7 +157,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_
     """Write the files; returns (part, name, n_docs, n_tokens, base), one row per partition in doc_id order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, (store, at) = encoder(tokenizer), file_system(folder)
+        code, (store, at) = encoder(tokenizer), tx.file_system(folder)
         kind = np.dtype("<u2" if max(code.size, end_id + 1) <= 1 << 16 else "<u4")
         part = TaskContext.get().partitionId()
         name, own = f"part-{part:05d}", f".{part:05d}-{uuid.uuid4().hex}"
@@ -204,7 +197,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_
 
 def map_file(folder: str, name: str, kind: str) -> np.ndarray:
     """A file's numbers: mapped into memory where the folder is local."""
-    store, at = file_system(folder)
+    store, at = tx.file_system(folder)
     path = f"{at}/{name}"
     if isinstance(store, fs.LocalFileSystem):
         return np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)

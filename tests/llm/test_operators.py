@@ -5,6 +5,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -84,42 +85,83 @@ def test_substring_longest(spark):
     assert {r.doc_id: r.longest for r in substring.longest(found, 20).collect()} == {1: 40, 2: 40}
 
 
-def test_katz(docs, texts):
-    got = {r.doc_id: r for r in katz.score(docs).collect()}
-    d = {i: t.lower().split() + [0] for i, t in texts.items()}
-    train = [i for i in d if zlib.crc32(str(i).encode()) % 7 != 2]
-    u, b, ch = Counter(), Counter(), Counter()
+def _katz(tokens, train, order):
+    """Brute force: (unigram counts, probability of a word after a context). A context is START or (context before, word)."""
+    counts = [Counter(), *(Counter() for _ in range(order))]
+
+    def contexts(t, k):
+        return [()] * len(t) if k == 1 else ["START", *zip(contexts(t, k - 1), t, strict=True)][: len(t)]
+
     for i in train:
-        u.update(d[i])
-        for h, w in zip([1, *d[i][:-1]], d[i], strict=True):
-            b[h, w] += 1
-            ch[h] += 1
+        for k in range(1, order + 1):
+            counts[k].update(zip(contexts(tokens[i], k), tokens[i], strict=True))
+    total = [Counter(), *(Counter() for _ in range(order))]
+    after = [{}, *({} for _ in range(order))]
+    for k in range(1, order + 1):
+        for (h, w), c in counts[k].items():
+            total[k][h] += c
+            after[k].setdefault(h, []).append(w)
+    d = [None, *(katz.discounts(np.array([Counter(c.values())[r] for r in range(1, katz.K + 2)])) for c in counts[1:])]
+    cut = lambda k, c: (d[k][c] if c <= katz.K else 1) * c
+
+    def shorter(k, h):
+        if k == 2:
+            return ()
+        return h if h == "START" else (shorter(k - 1, h[0]), h[1])
+
+    @lru_cache(None)
+    def left(k, h):
+        """(scale of the seen, what is freed, the lower orders' share of the seen)"""
+        n = total[k][h]
+        free = sum(counts[k][h, w] - cut(k, counts[k][h, w]) for w in after[k][h])
+        bare = free <= 1e-12
+        return (n / (n + 1) if bare else 1.0), (n / (n + 1) if bare else free) / n, sum(p(k - 1, shorter(k, h), w) for w in after[k][h]) if k > 1 else 0.0
+
+    def p(k, h, w):
+        if not total[k][h]:
+            return p(k - 1, shorter(k, h), w) if k > 1 else 1.0
+        scale, free, seen = left(k, h)
+        if k == 1 and scale < 1:
+            free = 1 / (total[k][h] + 1)
+        if counts[k][h, w]:
+            return scale * cut(k, counts[k][h, w]) / total[k][h]
+        return free / (1 - seen) * p(k - 1, shorter(k, h), w) if k > 1 else free
+
+    return Counter({w: c for (_, w), c in counts[1].items()}), p, contexts
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_katz(spark, docs, texts, none, tmp_path, order):
+    got = {r.doc_id: r for r in katz.score(docs, order=order, folder=f"file://{tmp_path}/model").collect()}
+    d = {i: [*t.lower().split(), 0] for i, t in texts.items()}
+    train = [i for i in d if zlib.crc32(str(i).encode()) % 7 != 2]
+    u, p, contexts = _katz(d, train, order)
     n, v = sum(u.values()), len(u)
-    du, db = (katz.discounts(np.array([Counter(c.values())[k] for k in range(1, katz.K + 2)])) for c in (u, b))
-    cut = lambda q, c: (q[c] if c <= katz.K else 1) * c
-    freed = sum(c - cut(du, c) for c in u.values())
-    p1 = lambda w: (n / (n + 1) if freed <= 0 else 1) * cut(du, u[w]) / n if u[w] else (freed / n if freed > 0 else 1 / (n + 1))
-    free, seen = Counter(), Counter()
-    for (h, w), c in b.items():
-        free[h] += c - cut(db, c)
-        seen[h] += p1(w)
-
-    def p(h, w):
-        if not ch[h]:
-            return p1(w)
-        bare = free[h] <= 1e-12
-        if b[h, w]:
-            return (ch[h] / (ch[h] + 1) if bare else 1) * cut(db, b[h, w]) / ch[h]
-        return (ch[h] / (ch[h] + 1) if bare else free[h]) / ch[h] / (1 - seen[h]) * p1(w)
-
-    for h in list(ch)[:20]:  # exactly normalised, with one class of unknown words
-        assert abs(sum(p(h, w) for w in u) + p(h, "never seen") - 1) < 1e-9
+    seen = {h for t in d.values() for h in contexts(t, order)}
+    for h in sorted(seen, key=str)[:20]:  # exactly normalised, with one class of unknown words
+        assert abs(sum(p(order, h, w) for w in u) + p(order, h, "never seen") - 1) < 1e-9
     for i, t in d.items():
-        want = sum(math.log10(p(h, w)) for h, w in zip([1, *t[:-1]], t, strict=True))
+        want = sum(math.log10(p(order, h, w)) for h, w in zip(contexts(t, order), t, strict=True))
         r = got[i]
         assert abs(r.score - want) < 1e-6 * max(1, -want)
         assert abs(r.base_score - sum(math.log10((u[w] + 1) / (n + v + 1)) for w in t)) < 1e-6 * max(1, -want)
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(t), sum(u[w] > 0 for w in t), n, i not in train)
+    if order > 1:  # the tables alone give distributions that sum to one
+        ngrams, known = (spark.read.parquet(f"{tmp_path}/model/{x}{order}") for x in ("ngrams", "contexts"))
+        assert known.groupBy("context").count().filter("count > 1").isEmpty()
+        counts_of = ngrams.groupBy("n").count().collect()
+        q = katz.discounts(np.array([sum(r["count"] for r in counts_of if r.n == k) for k in range(1, katz.K + 2)]))
+        kept = F.col("n") * F.when(F.col("n") <= katz.K, F.array(*map(F.lit, q.tolist()))[F.least("n", F.lit(katz.K)).cast("int")]).otherwise(1.0)
+        sums = ngrams.groupBy("context").agg(F.sum(kept).alias("mass"), F.sum("lower").alias("lower")).join(known, "context")
+        assert sums.filter(F.abs(F.col("kept") * F.col("mass") / F.col("total") + F.col("weight") * (1 - F.col("lower")) - 1) > 1e-9).isEmpty()
+        assert ngrams.agg(F.sum("n")).first()[0] == n and sums.count() == known.count()
+    assert katz.score(none, order=order).count() == 0
+
+
+def test_katz_repeated_ids(spark):
+    rows = [(1, "a b"), (1, "a b c"), (None, "b c"), (2, None)]
+    got = katz.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == [(0, 3), (1, 3), (1, 4), (2, 1)]
 
 
 def test_mixing(docs, texts, none):
