@@ -1,20 +1,25 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Document frequencies of hashed words are counted over the whole corpus.
-2. A randomised SVD of the benchmark's TF-IDF passages gives the latent space: seeded random probes, power
-   iterations and the final factorisation are sums over partitions of the passages, joined pairwise.
+2. A randomised SVD of the benchmark's TF-IDF passages gives the latent space. Products of the passages with a block
+   of vectors are made in the passages' tasks and summed by bucket into a stored table; a table is made orthonormal by
+   the Gram matrix of its rows, which tasks sum as well. The driver factorises only matrices of RANK + 16 columns and
+   rows; the tall ones stay in tables. (Singular values below 1e-6 of the greatest can't be told from zero so.)
 3. Every document passage (`WINDOW` words, every `STRIDE` words, whole texts) is projected; pairs of passages with a
-   cosine of `COSINE` or more are candidates. Passages whose words are hardly known to any item (less than that share of the passage's length)
-   are left at once. The cosine is no bound for the rule of step 4, so every (document, item) where enough of the
-   item's words stand near each other for the rule to hold (`Gate`) is a candidate too: no leak of step 4 is missed.
+   cosine of `COSINE` or more are candidates. Lengths sum the squared weight of each occurrence. Passages whose words
+   are hardly known to any item (less than that share of the passage's length) are left at once. The cosine is no
+   bound for the rule of step 4, so every (document, item) where enough of the item's words stand near each other for
+   the rule to hold (`Gate`) is a candidate too: no leak of step 4 is missed.
 4. Each candidate is checked on the words: the longest common subsequence of item and the text around the passage,
    and whether the item's answer (its last sentence) stands there verbatim. A leak has `LCS` of the item's words in
    order, or `LCS_ANSWER` and the answer; items below `SHORT` words must stand there word by word.
 
-Items are handled in blocks of `ITEMS`, so that what is broadcast is bounded whatever the benchmark's size.
+Items are handled in blocks of `ITEMS` rows and `ITEM_BYTES` at most (a longer item is a block of its own), which the
+tasks read from tables of that bounded size: nothing is broadcast.
 
-Defined results: null and empty texts and items without words match nothing; a document is reported once per item
-it leaks, with its best passage; rows that share a doc_id are reported as one document.
+Defined results: null and empty texts, items without words and items with a null id match nothing; empty tables give
+no rows; a document is reported once per item it leaks, with its best passage; rows that share a doc_id are reported
+as one document, items that share an item_id as one item; very long texts are cut into passages like others.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ RANK = 256
 WINDOW, STRIDE = 32, 16
 COSINE = 0.45
 LCS, LCS_ANSWER, SHORT = 0.75, 0.5, 8
-ITEMS = 4096
+ITEMS, ITEM_BYTES = 4096, 32 << 20
 _STRIP = b".,;:!?\"'()[]{}"
 _STRIPPED = np.zeros(256, bool)
 _STRIPPED[list(_STRIP)] = True
@@ -95,54 +100,100 @@ def passages(text: bytes | None) -> list[np.ndarray]:
     return [bucket[a : a + WINDOW] for a in range(0, len(bucket) - STRIDE, STRIDE)]
 
 
-def _merge(a: tuple, b: tuple) -> tuple:
-    """Sum of two sparse sets of rows (numbers, values)."""
-    rows, place = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
-    out = np.zeros((len(rows), a[1].shape[1]), np.float64)
-    np.add.at(out, place, np.concatenate([a[1], b[1]]))
-    return rows, out
+def _vectors(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """A stored table (bucket, vector): buckets in order, a row for each."""
+    rows = tx.read_folder(path)
+    bucket = rows["bucket"].to_numpy()
+    order = np.argsort(bucket)
+    vectors = np.frombuffer(b"".join(rows["vector"].to_pylist()), np.float64)
+    return bucket[order], vectors.reshape(len(bucket), -1)[order]
 
 
-def latent_space(items: DataFrame, idf: np.ndarray, rank: int = RANK, powers: int = 2, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Right singular vectors of the items' TF-IDF passages: (buckets that occur, a row for each).
+def _rows(bucket: np.ndarray, vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(bucket), 1000):
+        part = vectors[at : at + 1000]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[at : at + 1000], pa.int32()), pa.array([x.tobytes() for x in part], pa.binary())], ["bucket", "vector"])
 
-    Z = A'(A Q) is summed over partitions. Only rows of buckets that occur in the items are made, sent or kept.
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The vectors of each bucket added up."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for bucket, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x = np.frombuffer(vector, np.float64)
+            total[bucket] = total[bucket] + x if bucket in total else x
+    if total:
+        yield from _rows(np.array(list(total)), np.stack(list(total.values())))
+
+
+def _inverse_root(gram: np.ndarray) -> np.ndarray:
+    """What makes the rows' columns orthonormal; directions without length are left out."""
+    value, vector = np.linalg.eigh(gram)
+    some = value > 1e-12 * max(value[-1], 1e-300)
+    return vector[:, some] / np.sqrt(value[some])
+
+
+def latent_space(items: DataFrame, idf: np.ndarray, rank: int = RANK, powers: int = 2, seed: int = 3) -> tuple[str, np.ndarray] | None:
+    """Right singular vectors of the TF-IDF passages of items (id, text): a stored table (bucket, vector) and what its rows are multiplied by.
+
+    Only rows of buckets that occur in the items are made. None: no item has words.
     """
     width = rank + 16
-    texts = _texts(items, "item_id").rdd.map(lambda r: bytes(r[1]) if r[1] is not None else b"")
+    spark = items.sparkSession
+
+    def basis(path: str | None, turn: np.ndarray | None, used: np.ndarray) -> np.ndarray:
+        if path is None:  # probes: the same for a bucket in every task
+            return np.stack([np.random.default_rng([seed, int(u)]).normal(size=width) for u in used])
+        known, rows = _vectors(path)
+        return rows[np.searchsorted(known, used)] @ turn
 
-    def product(known: np.ndarray | None, q: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        def run(rows: Iterator[bytes]) -> Iterator[tuple]:
-            own = [np.unique(p, return_counts=True) for text in rows for p in passages(text)]
+    def over_passages(path: str | None, turn: np.ndarray | None, square: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = [np.unique(p, return_counts=True) for batch in batches for text in batch.column(1).to_pylist() for p in passages(text)]
             if not own:
                 return
             used = np.unique(np.concatenate([u for u, _ in own]))
-            if q is None:  # probes: the same for a bucket in every task
-                basis = np.stack([np.random.default_rng([seed, int(u)]).normal(size=width) for u in used])
-            else:
-                basis = q[np.searchsorted(known, used)]
-            total = np.zeros_like(basis)
+            q = basis(path, turn, used)
+            total = np.zeros((q.shape[1], q.shape[1])) if square else np.zeros_like(q)
             for use, n in own:
                 x = n * idf[use]
                 x = x / (np.linalg.norm(x) or 1)
                 at = np.searchsorted(used, use)
-                total[at] += np.outer(x, x @ basis[at])
-            yield used, total
-
-        parts = texts.mapPartitions(run)
-        return (np.zeros(0, np.int64), np.zeros((0, width))) if parts.isEmpty() else parts.treeReduce(_merge)
-
-    known, z = product(None, None)
-    if not len(known):
-        return known, z
-    q, _ = np.linalg.qr(z)
-    for _ in range(powers - 1):
-        q, _ = np.linalg.qr(product(known, q)[1])
-    _, z = product(known, q)
-    # in the basis Q, A'A is Q'Z: its leading eigenvectors are the right singular vectors
-    value, vector = np.linalg.eigh(q.T @ z)
+                y = x @ q[at]
+                if square:
+                    total += np.outer(y, y)
+                else:
+                    total[at] += np.outer(x, y)
+            if square:
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["x"])
+            else:
+                yield from _rows(used, total)
+
+        return run
+
+    def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width, width))
+        for batch in batches:
+            rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float64).reshape(batch.num_rows, -1)
+            total[: rows.shape[1], : rows.shape[1]] += rows.T @ rows
+            size = rows.shape[1]
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array([total[:size, :size].tobytes()], pa.binary())], ["x"])
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = turn = None
+    for _ in range(powers):  # the table holds Z = A'(A Q), Q being the table before times its turn
+        path = tx.store(items.mapInArrow(over_passages(path, turn, False), "bucket int, vector binary").repartition(min(n, 64), "bucket").mapInArrow(_summed, "bucket int, vector binary"), "latent")
+        square = _sums(spark.read.parquet(path).mapInArrow(gram, "x binary"), "<f8")
+        if square is None:
+            return None
+        side = int(len(square) ** 0.5)
+        turn = _inverse_root(square.reshape(side, side))
+    # in the basis Q, A'A is (A Q)'(A Q): its leading eigenvectors are the right singular vectors
+    inner = _sums(items.mapInArrow(over_passages(path, turn, True), "x binary"), "<f8").reshape(turn.shape[1], turn.shape[1])
+    value, vector = np.linalg.eigh(inner)
     keep = np.argsort(value)[::-1][: min(rank, int((value > 1e-9).sum()) or 1)]
-    return known, (q @ vector[:, keep]).astype(np.float32)
+    return path, (turn @ vector[:, keep]).astype(np.float32)
 
 
 def lcs(a: list[bytes], b: list[bytes]) -> int:
@@ -252,100 +303,117 @@ class Gate:
         return text, i - base[text], j
 
 
-def _search(docs: DataFrame, items: DataFrame, idf: np.ndarray, only_candidates: bool) -> DataFrame:
-    spark = docs.sparkSession
-    known, space = latent_space(items, idf)
-    rows = [(r[0], bytes(r[1])) for r in _texts(items, "item_id").collect() if r[0] is not None and r[1]]
-    weighted = space * idf[known, None]
-    vectors, owner = [], []
-    for i, (_, text) in enumerate(rows):
-        for p in passages(text):
-            v = weighted[np.searchsorted(known, p)].sum(0)
-            n = np.linalg.norm(v)
-            if n > 0:  # divided by what the space keeps of the passage: an exact copy has cosine one
-                vectors.append(v / n * (np.sqrt((idf[p] ** 2).sum()) / n))
-                owner.append(i)
-    if not vectors:
-        return spark.createDataFrame([], "doc_id long, item_id long, cosine double, lcs double, answer boolean")
-    number = np.full(BUCKETS, -1, np.int32)
-    number[known] = np.arange(len(known))
-    shared = spark.sparkContext.broadcast((np.concatenate([weighted, np.zeros((1, weighted.shape[1]), np.float32)]), number, idf**2, np.array(vectors, np.float32), np.array(owner), rows))  # at most BUCKETS x RANK and ITEMS items
+class Search:
+    """A block of items, their passages in the latent space, and the word checks."""
+
+    def __init__(self, items: str, latent: str, turn: np.ndarray, idf: np.ndarray):
+        held = tx.read_folder(items)
+        rows = sorted(zip(held["id"].to_pylist(), held["text"].to_pylist(), strict=True))
+        self.ids = [i for i, _ in rows]
+        self.checks = [Item(t) for _, t in rows]
+        known, space = _vectors(latent)
+        weighted = (space @ turn).astype(np.float32) * idf[known, None]
+        vectors, owner = [np.zeros((0, turn.shape[1]), np.float32)], []
+        for i, (_, text) in enumerate(rows):
+            for p in passages(text):
+                v = weighted[np.searchsorted(known, p)].sum(0)
+                n = np.linalg.norm(v)
+                if n > 0:  # divided by what the space keeps of the passage: an exact copy has cosine one
+                    vectors.append(v[None] / n * (np.sqrt((idf[p] ** 2).sum()) / n))
+                    owner.append(i)
+        self.vectors, self.owner = np.concatenate(vectors), np.array(owner, np.int64)
+        self.table = np.concatenate([weighted, np.zeros((1, weighted.shape[1]), np.float32)])
+        self.number = np.full(BUCKETS, -1, np.int32)
+        self.number[known] = np.arange(len(known))
+        self.power = idf**2
+        self.worded = np.flatnonzero([bool(x.words) for x in self.checks])
+        self.gate = Gate([self.checks[i] for i in self.worded]) if len(self.worded) else None
+
+    def found(self, part: np.ndarray, off: np.ndarray, only_candidates: bool) -> Iterator[tuple]:
+        """(text, item, cosine, share, answer) of the texts that leak an item."""
+        table, power, vectors, owner, checks = self.table, self.power, self.vectors, self.owner, self.checks
+        bucket, size = _buckets(part, off)
+        blocks = -(-size // STRIDE)
+        if not blocks.sum() or self.gate is None:
+            return
+        of = np.repeat(np.arange(len(size)), blocks)
+        first = np.cumsum(size) - size
+        start = first[of] + (np.arange(len(of)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * STRIDE
+        where = self.number[bucket]
+        norm = np.add.reduceat(power[bucket], start)
+        known = np.add.reduceat(np.where(where >= 0, power[bucket], 0), start)
+        follows = np.append(of[1:] == of[:-1], False)  # a passage is this block and the next of the same text
+        length = np.sqrt(norm + np.append(np.where(follows[:-1], norm[1:], 0), 0))
+        both = known + np.append(np.where(follows[:-1], known[1:], 0), 0)
+        far = np.flatnonzero(both >= (COSINE * length) ** 2)
+        stop = np.append(start[1:], len(bucket))
+        stop = np.where(follows, np.append(stop[1:], 0), stop)
+        best: dict[tuple[int, int], tuple] = {}
+        texts: dict[int, list[bytes]] = {}  # of one document
+
+        def words(doc: int) -> list[bytes]:
+            if doc not in texts:
+                texts.clear()
+                texts[doc] = _words(part[off[doc] : off[doc + 1]].tobytes())
+            return texts[doc]
+
+        def keep(doc: int, item: int, cos: float, checked: tuple) -> None:
+            if checked[2] and ((doc, item) not in best or best[doc, item][1::-1] < (checked[0], cos)):
+                best[doc, item] = (cos, *checked)
+
+        for at in range(0, len(far), 8192):
+            pick = far[at : at + 8192]
+            sums = np.zeros((len(pick), table.shape[1]), np.float32)
+            for k in range(WINDOW):
+                place = start[pick] + k
+                inside = place < stop[pick]
+                word = where[np.minimum(place, len(where) - 1)]
+                sums += table[np.where(inside & (word >= 0), word, len(table) - 1)]
+            cos = sums @ vectors.T / length[pick, None]
+            i, j = np.nonzero(cos >= COSINE)
+            for doc, item, low, c in zip(of[pick[i]].tolist(), owner[j].tolist(), (start[pick[i]] - first[of[pick[i]]]).tolist(), cos[i, j].tolist(), strict=True):
+                reach = len(checks[item].words)
+                keep(doc, item, c, (0.0, False, True) if only_candidates else checks[item].check(words(doc)[max(0, low - reach) : low + WINDOW + reach]))
+        for doc, stretch, item in () if only_candidates else zip(*(x.tolist() for x in self.gate.found(part, off)), strict=True):
+            item = int(self.worded[item])
+            reach, low = len(checks[item].words), stretch * self.gate.span
+            if not checks[item].check(words(doc)[low : low + 2 * self.gate.span])[2]:
+                continue
+            for at in range(low + reach + -(low + reach) % STRIDE if low else 0, min(low + self.gate.span + reach, int(size[doc])), STRIDE):
+                checked = checks[item].check(words(doc)[max(0, at - reach) : at + WINDOW + reach])
+                if checked[2]:
+                    place = np.arange(first[doc] + at, first[doc] + min(at + WINDOW, int(size[doc])))
+                    word = where[place]
+                    cos = vectors[owner == item] @ table[np.where(word >= 0, word, len(table) - 1)].sum(0) / np.sqrt(power[bucket[place]].sum())
+                    keep(doc, item, float(cos.max(initial=0)), checked)
+        for (doc, item), (cos, share, answer, _) in best.items():
+            yield doc, self.ids[item], cos, share, answer
+
+
+_READY: dict[str, Search] = {}  # of one block of items, kept between a worker's tasks
+
+
+def _search(docs: DataFrame, items: DataFrame, n_bytes: int, idf: np.ndarray, only_candidates: bool) -> DataFrame:
+    schema = "doc_id long, item_id long, cosine double, lcs double, answer boolean"
+    path = tx.store(_texts(items, "item_id").filter("id is not null and text is not null").repartition(max(1, n_bytes >> 20)), "items")
+    space = latent_space(docs.sparkSession.read.parquet(path), idf)
+    if space is None:
+        return docs.sparkSession.createDataFrame([], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, number_, power, vectors_, owner_, rows_ = shared.value
-        checks = [Item(t) for _, t in rows_]
-        worded = np.flatnonzero([bool(x.words) for x in checks])
-        gate = Gate([checks[i] for i in worded])
+        if path not in _READY:
+            _READY.clear()
+            _READY[path] = Search(path, *space, idf)
+        search = _READY[path]
         for batch in batches:
             data, offsets = tx.binary_column(batch, "text")
-            ids, out = batch.column(0), []
             for a, b in tx.chunks(offsets, 1 << 20):
-                part, off = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                bucket, size = _buckets(part, off)
-                blocks = -(-size // STRIDE)
-                if not blocks.sum():
-                    continue
-                of = np.repeat(np.arange(len(size)), blocks)
-                first = np.cumsum(size) - size
-                start = first[of] + (np.arange(len(of)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * STRIDE
-                where = number_[bucket]
-                norm = np.add.reduceat(power[bucket], start)
-                known = np.add.reduceat(np.where(where >= 0, power[bucket], 0), start)
-                follows = np.append(of[1:] == of[:-1], False)  # a passage is this block and the next of the same text
-                length = np.sqrt(norm + np.append(np.where(follows[:-1], norm[1:], 0), 0))
-                # a passage of distinct words can't reach the cosine unless known words have this share of its length
-                both = known + np.append(np.where(follows[:-1], known[1:], 0), 0)
-                far = np.flatnonzero(both >= (COSINE * length) ** 2)
-                stop = np.append(start[1:], len(bucket))
-                stop = np.where(follows, np.append(stop[1:], 0), stop)
-                best: dict[tuple[int, int], tuple[float, int]] = {}
-                hits = []
-                for at in range(0, len(far), 8192):
-                    pick = far[at : at + 8192]
-                    sums = np.zeros((len(pick), table.shape[1]), np.float32)
-                    for k in range(WINDOW):
-                        place = start[pick] + k
-                        inside = place < stop[pick]
-                        word = where[np.minimum(place, len(where) - 1)]
-                        sums += table[np.where(inside & (word >= 0), word, len(table) - 1)]
-                    cos = sums @ vectors_.T / length[pick, None]
-                    i, j = np.nonzero(cos >= COSINE)
-                    hits += zip(of[pick[i]].tolist(), owner_[j].tolist(), start[pick[i]].tolist(), cos[i, j].tolist(), strict=True)
-                texts: dict[int, list[bytes]] = {}
-                for doc, item, at, cos in hits:
-                    if only_candidates:
-                        found = (0.0, False, True)
-                    else:
-                        if doc not in texts:
-                            texts = {doc: _words(part[off[doc] : off[doc + 1]].tobytes())}
-                        at -= first[doc]
-                        reach = len(checks[item].words)
-                        found = checks[item].check(texts[doc][max(0, at - reach) : at + WINDOW + reach])
-                    if found[2] and ((doc, item) not in best or best[doc, item][1::-1] < (found[0], cos)):
-                        best[doc, item] = (cos, *found)
-                near = zip(*(x.tolist() for x in gate.found(part, off)), strict=True) if not only_candidates else ()
-                for doc, stretch, item in near:
-                    item = int(worded[item])
-                    if doc not in texts:
-                        texts = {doc: _words(part[off[doc] : off[doc + 1]].tobytes())}
-                    reach, low = len(checks[item].words), stretch * gate.span
-                    if not checks[item].check(texts[doc][low : low + 2 * gate.span])[2]:
-                        continue
-                    for at in range(low + reach + -(low + reach) % STRIDE if low else 0, min(low + gate.span + reach, int(size[doc])), STRIDE):
-                        found = checks[item].check(texts[doc][max(0, at - reach) : at + WINDOW + reach])
-                        if found[2]:
-                            place = np.arange(first[doc] + at, first[doc] + min(at + WINDOW, int(size[doc])))
-                            word = where[place]
-                            cos = vectors_[owner_ == item] @ table[np.where(word >= 0, word, len(table) - 1)].sum(0) / np.sqrt(power[bucket[place]].sum())
-                            cos = float(cos.max(initial=0))
-                            if (doc, item) not in best or best[doc, item][1::-1] < (found[0], cos):
-                                best[doc, item] = (cos, *found)
-                out += [(a + doc, rows_[item][0], cos, share, answer) for (doc, item), (cos, share, answer, _) in best.items()]
-            if out:
-                c = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(c[0])), pa.array(c[1], pa.int64()), pa.array(c[2], pa.float64()), pa.array(c[3], pa.float64()), pa.array(c[4])], ["doc_id", "item_id", "cosine", "lcs", "answer"])
-
-    return _texts(docs, "doc_id").mapInArrow(run, "doc_id long, item_id long, cosine double, lcs double, answer boolean")
+                out = [(a + doc, *x) for doc, *x in search.found(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], only_candidates)]
+                if out:
+                    c = list(zip(*out, strict=True))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(c[0])), pa.array(c[1], pa.int64()), pa.array(c[2], pa.float64()), pa.array(c[3], pa.float64()), pa.array(c[4])], ["doc_id", "item_id", "cosine", "lcs", "answer"])
+
+    return _texts(docs, "doc_id").mapInArrow(run, schema)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, only_candidates: bool = False) -> DataFrame:
@@ -354,12 +422,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, only_candidates: bool = False)
     With `only_candidates`, what the latent search alone proposes.
     """
     idf = inverse_frequencies(docs)
-    n = benchmark.count()
-    blocks = max(1, -(-n // ITEMS))
+    n, size = benchmark.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    blocks = max(1, -(-n // ITEMS), -(-(size or 0) // ITEM_BYTES))
     found = None
     for k in range(blocks):
         items = benchmark if blocks == 1 else benchmark.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        part = _search(docs, items, idf, only_candidates)
+        part = _search(docs, items, (size or 0) // blocks, idf, only_candidates)
         found = part if found is None else found.unionByName(part)
     best = F.max(F.struct("lcs", "cosine", "answer")).alias("b")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.cosine", "b.lcs", "b.answer")
@@ -367,8 +435,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, only_candidates: bool = False)
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that leak nothing; rows with a null id stay."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_leak"], "left_anti")
+    bad = leaks(docs, benchmark).select("doc_id").distinct()
+    return tx.without(docs, bad)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

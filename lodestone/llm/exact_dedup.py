@@ -4,7 +4,7 @@ Each text is normalised (every white-space run becomes one space) and digested w
 pre-aggregated where they are read, dealt out by bucket and looked up in their bucket's cuckoo filter: a miss
 is a new live digest and is inserted; a hit is verified against the digests stored in the bucket, so a false
 positive of the filter never merges two texts. A filter that overflows is rebuilt at twice the size from the
-stored keys. `apply_changes` inserts and deletes live digests in a stored index.
+stored keys. `apply_changes` inserts and deletes live digests in a stored index, whose members name the row to keep.
 
 Defined results: null text equals the empty text; empty tables give empty results; of rows that share the
 smallest doc_id of a group all carry kept = true; null ids sort after all others; extra columns are ignored.
@@ -113,7 +113,7 @@ class BucketIndex:
             self._resize()
 
     def remove(self, digest: bytes, n: int = 1) -> bool:
-        """Take away n copies; the last one deletes the digest. keep_id stays until the digest goes."""
+        """Take away n copies; the last one deletes the digest."""
         held = self.keys.get(digest) if digest in self.filter else None
         if held is None:
             return False
@@ -165,28 +165,47 @@ def live_digests(keyed: DataFrame, buckets: int | None = None) -> DataFrame:
     return partial.repartition(buckets, "digest").mapInArrow(_live, "digest binary, keep_id long, group_size long")
 
 
-def apply_changes(index: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
-    """A stored index after insertions and deletions: `added` and `removed` are (doc_id, digest) rows.
+def apply_changes(index: DataFrame, members: DataFrame, added: DataFrame, removed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A stored index and its members (doc_id, digest) after insertions and deletions of (doc_id, digest) rows.
 
-    Deletions of digests that are not live have no effect; a digest whose last copy goes is deleted.
+    A deletion takes one member row with its id and digest; where none is left it has no effect. A digest whose last
+    member goes is deleted; one whose keep_id goes is kept under the smallest id that is left.
     """
     spark = index.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = ["doc_id", "digest"]
+    counted = lambda df, n: df.groupBy(*key).agg((F.count("*") * n).alias("n"))
+    held = counted(members.select(*key).unionByName(added.select(*key)), 1).withColumnRenamed("n", "there")
+    less = counted(removed.select(*key), 1).withColumnsRenamed({"doc_id": "_id", "digest": "_digest"})
+    both = held.join(less, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
+    left = tx.stored(both.select(*key, "there", F.least("there", F.coalesce("n", F.lit(0))).alias("gone")), "left")
+    gone = left.filter("gone > 0").groupBy("digest").agg(F.sum("gone").alias("n"))
+    touched = tx.dealt_anew(gone.select("digest"), "digest")
+    keep = left.filter("there > gone").join(touched, "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    no_id, no_n = F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n")
     rows = (
         index.select("digest", F.col("keep_id").alias("doc_id"), F.col("group_size").alias("n"), F.lit(0).alias("step"))
-        .unionByName(added.mapInArrow(_partials, "digest binary, doc_id long, n long").withColumn("step", F.lit(1)))
-        .unionByName(removed.groupBy("digest").agg(F.lit(None).cast("long").alias("doc_id"), F.count("*").alias("n")).withColumn("step", F.lit(2)))
+        .unionByName(added.select(*key).mapInArrow(_partials, "digest binary, doc_id long, n long").withColumn("step", F.lit(1)))
+        .unionByName(gone.select("digest", no_id, "n", F.lit(2).alias("step")))
+        .unionByName(keep.select("digest", "doc_id", no_n, F.lit(3).alias("step")))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket = BucketIndex()
         for batch in batches:
             for digest, doc_id, n, step in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                bucket.remove(digest, n) if step == 2 else bucket.add(digest, doc_id, n)
+                if step == 2:
+                    bucket.remove(digest, n)
+                elif step == 3:
+                    bucket.keys[digest][0] = doc_id
+                else:
+                    bucket.add(digest, doc_id, n)
         keys = bucket.keys
         yield pa.RecordBatch.from_arrays([pa.array(list(keys), pa.binary()), pa.array([v[0] for v in keys.values()], pa.int64()), pa.array([v[1] for v in keys.values()], pa.int64())], ["digest", "keep_id", "group_size"])
 
-    return rows.repartition(buckets, "digest").sortWithinPartitions("step").mapInArrow(run, "digest binary, keep_id long, group_size long")
+    changed = rows.repartition(buckets, "digest").sortWithinPartitions("step").mapInArrow(run, "digest binary, keep_id long, group_size long")
+    rest = left.filter("there > gone").withColumn("n", F.explode(F.sequence(F.lit(1), F.col("there") - F.col("gone")))).select(*key)
+    return changed, rest
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:

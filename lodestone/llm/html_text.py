@@ -1,14 +1,18 @@
 """HTML extraction by line-block distribution.
 
-A page is cut into lines at block tags. Every line weighs its characters outside links; lines of scripts, styles,
-menus, headers, footers, sidebars, notices, adverts, forms and reader comments weigh nothing, which an element's
-name, role or class tells. The weights of `WINDOW` lines after each other are summed; where this sum surges from
-zero a run of main text begins, where it dives to zero it ends, and the lines between are kept, in pages without
-an article or main element also those of links alone. In a page with such an element every line in it weighs at
-least one and the lines outside weigh nothing. Every run counts, however long the page's others are.
-
-Defined results: null and empty pages, and pages without text, give the empty string; unclosed elements end with
-their parent; broken markup is read as far as a browser would, and unknown references stay as they are.
+A page is read tag by tag, in one pass, and cut into lines at block elements. A line weighs its characters outside
+links; a list item that is links alone weighs nothing, other lines that are links alone weigh one within an article or
+main element and nothing outside. Lines of elements that are no text by their tag, role or class (scripts, styles,
+menus, headers, footers, sidebars, notices, adverts, forms, reader comments, hidden ones) stay as lines without text
+or weight; so do all lines outside the article and main elements of a page that has some. The weights of `WINDOW`
+lines after each other are summed; where the sum surges from zero a run of main text begins, where it dives to zero it
+ends, and the lines between are kept: one link between paragraphs, but no list of links. Every run counts, however
+long or short, and however long the page's others are.
+
+Defined results: null and empty pages, and pages without text, give the empty string; null urls and ids stay null;
+repeated rows give a row each; an empty table gives no rows; other columns are ignored. Broken markup is read as far
+as a browser would: an open quote, comment, script or style lasts to the end of the page, unclosed elements end with
+their parent, and unknown character references stay as they are. Time and memory are in proportion to the page.
 """
 
 from __future__ import annotations
@@ -25,115 +29,189 @@ from lodestone.llm import textops as tx
 
 WINDOW = 3
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-SKIPPED = frozenset("nav footer aside form menu dialog button select option textarea template svg math noscript iframe object canvas audio video map head title".split())
+BLOCK = frozenset(
+    "address article aside blockquote body button caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li "
+    "main menu nav noscript ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split()
+)
+RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+SKIPPED = RAW | frozenset("nav footer aside form menu dialog button select option template svg math noscript object canvas audio video map head".split())
 MAIN = frozenset(("article", "main"))
+CONTAINERS = frozenset("div section ul ol dl table ins span header figure details center fieldset".split())
+#: A start tag of one of these ends an open paragraph.
+ENDS_P = BLOCK - frozenset("body button caption col colgroup dd dt head html legend optgroup option tbody td tfoot th thead title tr".split())
+HOLDS_P = frozenset("table td th button caption".split())
+#: A start tag ends an open element of its own kind, up to these.
+ENDS_OWN = {"li": frozenset(("ul", "ol", "menu", "dir")), "dt": frozenset(("dl",)), "dd": frozenset(("dl",)), "tr": frozenset(("table",)), "td": frozenset(("tr", "table")), "th": frozenset(("tr", "table")), "option": frozenset(("select",))}
+PAIRED = {"dt": "dd", "dd": "dt", "td": "th", "th": "td"}
+#: Words for what isn't main text: as a class, or as a part of a container's class or id.
 BOILER = frozenset(
-    "ad ads advert adverts advertisement advertising adsense adslot banner promo promotion sponsor sponsored sidebar widget menu nav navbar navigation breadcrumb breadcrumbs header masthead footer "
-    "comment comments commentlist disqus reply replies respond discussion responses cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing "
-    "social related recommended recommendations pagination pager toc copyright legal skip toolbar".split()
+    "ad ads advert adverts advertisement advertising adsense adsbygoogle banner promo sponsor sponsored sidebar widget menu nav navbar navigation breadcrumb breadcrumbs header masthead footer "
+    "comment comments commentlist disqus replies cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login share sharing social pagination pager copyright toolbar".split()
 )
+#: The same, for a container outside the main text alone, and only as the whole class.
+WEAK = frozenset("related recommended legal toc respond responses search subscription alert skip".split())
+#: With one of these a class says what surrounds or adjoins, not what it is.
+NEUTRAL = frozenset("has with no without open wrap wrapper layout content page body main post entry article text".split())
+WHERE = frozenset("site global top bottom left right sticky box bar area slot block list section container item items links buttons inner outer".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-_RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>", re.S | re.I)
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
-_ATTR = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_PART = re.compile(r"[A-Za-z]+")
-_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_ATTR = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*))?)?")
+_GAP = re.compile(r"[\s/]*")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
+_NO_SHOW = re.compile(r"display\s*:\s*none", re.I)
+
+
+def _parts(token: str) -> list[str]:
+    return [p.lower() for p in _PART.findall(token)]
 
 
-def _boiler(name: str, attributes: str, in_main: bool) -> bool:
+def _boiler(name: str, attributes: dict[str, str], in_main: bool) -> bool:
+    """Whether an element is no main text, by its tag, role, class or id."""
     if name in SKIPPED or name == "header" and not in_main:
         return True
     if not attributes or name in ("html", "body", "main"):
         return False
-    for key, a, b, c in _ATTR.findall(attributes):
-        key, value = key.lower(), a or b or c
-        if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if key == "role" and value.lower() in ROLES:
+    if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or _NO_SHOW.search(attributes.get("style", "")):
+        return True
+    if attributes.get("role", "").lower() in ROLES:
+        return True
+    container = name in CONTAINERS
+    for token in attributes.get("class", "").split():
+        if token.lower() in BOILER or container and not in_main and token.lower() in WEAK:
             return True
-        if key in ("class", "id") and any(p.lower() in BOILER for p in _PART.findall(_CAMEL.sub(" ", value))):
+        if container and not NEUTRAL.intersection(parts := _parts(token)) and BOILER.intersection(parts):
             return True
-    return False
+    parts = _parts(attributes.get("id", "")) if container and name != "section" else ()
+    return bool(parts) and not BOILER.isdisjoint(parts) and all(p in BOILER or p in WHERE for p in parts)
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
+    """("", text, {}), (name, "start", attributes) and (name, "end", {}), in one pass over the page."""
+    at, text, n = 0, 0, len(page)
+    while (at := page.find("<", at)) >= 0:
+        m = _NAME.match(page, at)
+        if m is None:
+            if page.startswith(("<!", "<?", "</"), at):
+                yield "", page[text:at], {}
+                end = "-->" if page.startswith("<!--", at) else "]]>" if page.startswith("<![CDATA[", at) else ">"
+                stop = page.find(end, at + 2)
+                at = text = n if stop < 0 else stop + len(end)
+            else:
+                at += 1
+            continue
+        yield "", page[text:at], {}
+        name, close, at, attributes = m[1].lower(), page[at + 1] == "/", m.end(), {}
+        while True:
+            at = _GAP.match(page, at).end()
+            if at >= n or page[at] == ">":
+                break
+            a = _ATTR.match(page, at)
+            at = a.end()
+            if at < n and page[at] in "\"'" and a[0].rstrip().endswith("="):
+                at = n  # a quote that never ends
+                break
+            attributes.setdefault(a[1].lower(), html.unescape(a[2] or a[3] or a[4] or ""))
+        if at >= n:
+            return  # a tag that never ends
+        at = text = at + 1
+        yield name, "end" if close else "start", attributes
+        if not close and name in RAW:
+            m = _RAW_END[name].search(page, at)
+            at = text = n if m is None else m.start()
+    yield "", page[text:], {}
 
 
 def lines(page: str) -> list[tuple[str, int, bool]]:
     """(text, weight, inside an article or main element) of each line; boilerplate stays as a weightless line."""
-    page = _RAW.sub("", page)
     out: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, skipped, main, link
-    skipped = main = link = False
+    stack: list[tuple[str, bool, bool, bool, bool, int]] = []  # name, skipped, main, link, list item, place of the paragraph to end
+    skipped = main = link = item = False
+    paragraph = -1
     text: list[str] = []
-    linked, at, mute = 0, 0, False
+    linked, mute = 0, False
 
     def flush() -> None:
         nonlocal text, linked, mute
-        line = " ".join(html.unescape("".join(text)).split())
-        if line:
-            weight = 0 if mute else max(len(line) - linked, 1 if main else 0)
-            out.append((line if not mute else "", weight, main))
+        line = " ".join("".join(text).split())
+        if mute and not line:
+            out.append(("", 0, main))
+        elif line:
+            out.append((line, max(len(line) - linked, 1 if main and not item else 0), main))
         text, linked, mute = [], 0, False
 
-    def take(piece: str) -> None:
-        nonlocal linked, mute
-        if piece:
-            if skipped:
-                mute = True
-            if link:
-                linked += len(piece.strip())
-            text.append(piece)
-
-    for m in _TAG.finditer(page):
-        take(page[at : m.start()])
-        at = m.end()
-        name = m[2].lower()
-        if name not in INLINE:
+    held: dict[str, int] = {}  # open elements by name, so that a stray end tag costs nothing
+
+    def close(k: int) -> None:
+        nonlocal skipped, main, link, item, paragraph
+        for x in stack[k:]:
+            held[x[0]] -= 1
+        del stack[k:]
+        skipped, main, link, item, paragraph = stack[-1][1:] if stack else (False, False, False, False, -1)
+
+    def end(names: tuple[str, ...], up_to: frozenset) -> None:
+        """Close the innermost open element of these names, if none of `up_to` lies in it."""
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] in names:
+                return close(k)
+            if stack[k][0] in up_to:
+                return None
+        return None
+
+    for name, piece, attributes in tokens(page):
+        if not name:
+            if piece:
+                if skipped:
+                    mute = mute or bool(piece.strip())
+                else:
+                    piece = html.unescape(piece)
+                    linked += len(" ".join(piece.split())) if link else 0
+                    text.append(piece)
+            continue
+        if name in BLOCK:
             flush()
-        if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    skipped, main, link = stack[-1][1:] if stack else (False, False, False)
-                    break
+        elif name == "br" and not skipped:
+            text.append(" ")
+        if piece == "end":
+            if held.get(name):
+                end((name,), frozenset())
         elif name not in VOID:
-            if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option"):  # these end an open one of their kind
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        skipped, main, link = stack[-1][1:] if stack else (False, False, False)
-                        break
-                    if stack[k][0] not in INLINE and stack[k][0] not in ("p", "td", "th"):
-                        break
-            skipped = skipped or _boiler(name, m[3], main)
-            main, link = main or name in MAIN and not skipped, link or name == "a"
-            stack.append((name, skipped, main, link))
-    take(page[at:])
+            if name in ENDS_P and paragraph >= 0:
+                close(paragraph)
+            if name in ENDS_OWN and held.get(name, 0) + held.get(PAIRED.get(name, ""), 0):
+                end((name, PAIRED.get(name, name)), ENDS_OWN[name])
+            skipped = skipped or _boiler(name, attributes, main)
+            main, link, item = main or name in MAIN and not skipped, link or name == "a", item or name == "li"
+            paragraph = len(stack) if name == "p" else -1 if name in HOLDS_P else paragraph
+            stack.append((name, skipped, main, link, item, paragraph))
+            held[name] = held.get(name, 0) + 1
     flush()
     return out
 
 
-def main_text(page: str | None) -> str:
-    """The main text of a page: its lines joined by line feeds."""
-    if not page:
-        return ""
-    found = lines(page)
-    weights = [w for _, w, _ in found]
-    whole = not any(m for _, _, m in found)
-    if not whole:
-        weights = [w if m else 0 for w, (_, _, m) in zip(weights, found, strict=True)]
-    sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
-    kept, i, n = [], 0, len(weights)
+def runs(weights: list[int], window: int = WINDOW) -> Iterator[tuple[int, int]]:
+    """(first, last) of each stretch from a surge of the windows' sums to the dive after it, cut to lines with weight."""
+    sums = [sum(weights[i : i + window]) for i in range(len(weights))]
+    i, n = 0, len(weights)
     while i < n:
         if not sums[i] or not weights[i]:
             i += 1
             continue
-        j = i  # a surge: the run lasts until the window's sum dives to zero
+        j = i
         while j < n and sums[j]:
             j += 1
-        last = max(k for k in range(i, j) if weights[k])
-        kept += [found[k][0] for k in range(i, last + 1) if weights[k] or whole and found[k][0]]
+        yield i, max(k for k in range(i, j) if weights[k])
         i = j
-    return "\n".join(kept)
+
+
+def main_text(page: str | None, window: int = WINDOW) -> str:
+    """The main text of a page: its lines joined by line feeds."""
+    if not page:
+        return ""
+    found = lines(page)
+    if any(m for _, _, m in found):
+        found = [(t, w, m) if m else ("", 0, m) for t, w, m in found]
+    return "\n".join(found[k][0] for i, j in runs([w for _, w, _ in found], window) for k in range(i, j + 1) if found[k][0])
 
 
 def extract(pages: DataFrame) -> DataFrame:

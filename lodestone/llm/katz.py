@@ -52,13 +52,14 @@ FOLD = 2_000_000
 END = 0x1D8E4E27C47D124F
 NO_ID = -(1 << 63)
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+SORTED = ("context", "word", "number")
 _COUNTS = [f"n{r}" for r in range(1, K + 1)]
 
 
 def _pack(x: np.ndarray) -> bytes:
     """Bytes of the same significance lie together, which compresses small numbers well."""
     x = np.ascontiguousarray(x)
-    return x.dtype.str.encode() + b":" + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() if len(x) else b"")
+    return x.dtype.str.encode() + b":" + zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() if len(x) else b"")
 
 
 def _unpack(b: bytes) -> np.ndarray:
@@ -105,7 +106,7 @@ def write_part(folder: str, table: str, part: int, columns: dict[str, np.ndarray
     own = f"{place}/.{uuid.uuid4().hex}"
     try:
         with store.open_output_stream(own) as out:
-            pq.write_table(pa.table(columns), out, compression="zstd")
+            pq.write_table(pa.table(columns), out, compression="zstd", use_dictionary=[x for x in columns if x not in SORTED], column_encoding={x: "DELTA_BINARY_PACKED" for x in columns if x in SORTED})
         store.move(own, f"{place}/rows.parquet")
     except BaseException:
         store.delete_file(own)
@@ -120,8 +121,7 @@ def read_part(folder: str, table: str, part: int) -> dict[str, np.ndarray]:
 
 
 def read_whole(path: str) -> dict[str, np.ndarray]:
-    store, at = tx.file_system(path)
-    rows = pq.read_table(at, filesystem=store)
+    rows = tx.read_folder(path)
     return {name: rows[name].to_numpy() for name in rows.column_names}
 
 

@@ -5,7 +5,8 @@ document is emitted floor(rate) times, plus one more copy when a uniform number
 the seed is below the fraction of the rate: the same on every rerun, on any partitioning.
 
 Defined results: null text has size 0; a null source is a source of its own, sorted last; rows that share an id
-share their draw; an empty table gives an empty mix; a source without words has target 0 and rate 0.
+share their draw; an empty table gives an empty mix; a source without words has target 0 and rate 0; ties in a
+source's name can't be, as a name is one source; own columns called like the mix's keep their values in `emitted`.
 """
 
 from __future__ import annotations
@@ -58,24 +59,35 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int =
     return filled.select("source", "source_size", target.alias("target"))
 
 
+NEW = ("size", "source_size", "target", "rate", "copies")
+
+
+def _mixed(docs: DataFrame, weights: tuple[int, ...], ceiling: int, seed: int) -> tuple[DataFrame, dict[str, str]]:
+    """`docs` with the columns `NEW` under names that none of its own has, and these names."""
+    name = {c: tx.fresh(docs, c) for c in NEW}
+    sized = docs.withColumn(name["size"], words("text"))
+    sizes = sized.groupBy("source").agg(F.sum(name["size"]).alias("source_size"))
+    plan = targets(sizes, weights, ceiling).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
+    plan = plan.select(F.struct("source", "source_size", "target", "rate").alias(tx.fresh(docs, "plan")))
+    of = lambda x: plan[plan.columns[0]][x]
+    both = sized.join(plan, sized["source"].eqNullSafe(of("source")), "left")
+    whole = F.floor(of("rate"))
+    copies = (whole + (uniform(sized["doc_id"], seed) < of("rate") - whole).cast("int")).cast("int")
+    made = {"size": sized[name["size"]], "source_size": of("source_size"), "target": of("target"), "rate": of("rate"), "copies": copies}
+    return both.select(*(sized[c] for c in docs.columns), *(x.alias(name[c]) for c, x in made.items())), name
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING, seed: int = SEED) -> DataFrame:
-    """`docs` (doc_id, text, source, ...) with size, source_size, target, rate and copies."""
-    sized = docs.withColumn("size", words("text"))
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = targets(sizes, weights, ceiling).withColumnRenamed("source", "_source")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    return (
-        sized.join(plan, sized["source"].eqNullSafe(plan["_source"]), "left")
-        .drop("_source")
-        .withColumn("rate", rate)
-        .withColumn("copies", (F.floor("rate") + (uniform(F.col("doc_id"), seed) < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
-    )
+    """`docs` (doc_id, text, source, ...) with size, source_size, target, rate and copies, in place of own columns of these names."""
+    mixed, name = _mixed(docs, weights, ceiling, seed)
+    return mixed.select(*(mixed[c] for c in docs.columns if c.lower() not in NEW), *(mixed[name[c]].alias(c) for c in NEW))
 
 
-def emitted(docs: DataFrame, **options) -> DataFrame:
+def emitted(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING, seed: int = SEED) -> DataFrame:
     """The mixed corpus: each document as often as the mix takes it, with the columns of `docs`."""
-    columns = docs.columns
-    return mix(docs, **options).filter("copies > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(*columns)
+    mixed, name = _mixed(docs, weights, ceiling, seed)
+    copy = tx.fresh(mixed, "copy")
+    return mixed.filter(mixed[name["copies"]] > 0).withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(name["copies"])))).select(*tx.own(docs))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

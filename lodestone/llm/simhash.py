@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import textops as tx
-from lodestone.llm.graph import components
+from lodestone.llm.graph import components, unite
 
 BITS = 64
 _LANES = np.uint64(0x0101010101010101)
@@ -94,28 +94,6 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def _find(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
-    while True:
-        up = parent[x]
-        if (up == x).all():
-            return x
-        x = up
-
-
-def _unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Join the sets of all pairs; afterwards parent points at the roots."""
-    while len(a):
-        a, b = _find(parent, a), _find(parent, b)
-        open_ = a != b
-        a, b = a[open_], b[open_]
-        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
-    while True:
-        up = parent[parent]
-        if (up == parent).all():
-            return
-        parent[:] = up
-
-
 def trie_join(group: np.ndarray, fp: np.ndarray, budget: int, width: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
     """Edges (i, j) that span the components, within each group, of fingerprints at most `budget` bits apart.
 
@@ -153,7 +131,7 @@ def trie_join(group: np.ndarray, fp: np.ndarray, budget: int, width: int = 400_0
             ok = (i < j) & (parent[i] != parent[j])
             i, j = i[ok], j[ok]
             ok = np.bitwise_count(fp[i] ^ fp[j]) <= budget
-            _unite(parent, i[ok], j[ok])
+            unite(parent, i[ok], j[ok])
         al, ah, bl, bh, dist = (x[~near] for x in (al, ah, bl, bh, dist))
         if not len(al):
             continue
@@ -168,6 +146,14 @@ def trie_join(group: np.ndarray, fp: np.ndarray, budget: int, width: int = 400_0
     return i, parent[i]
 
 
+def agreement(classes: int, budget: int, bucket: int = 256) -> int:
+    """The fewest blocks to agree on for which random fingerprints leave `bucket` classes a value or fewer."""
+    agree = 1
+    while agree < 8 and bucket * 2 ** (BITS * agree / (budget + agree)) < classes:
+        agree += 1
+    return agree
+
+
 def links(classes: DataFrame, budget: int = 3, agree: int = 1, crowd: int = 100_000) -> DataFrame:
     """Edges (a, b) between fingerprints of `classes` (fp) that span all components within the budget.
 
@@ -217,11 +203,11 @@ def links(classes: DataFrame, budget: int = 3, agree: int = 1, crowd: int = 100_
     return dealt.select("fp", F.xxhash64(*keys).alias("task"), *also).repartition(n, "task").mapInArrow(run, "a long, b long" + (", kind int" if kinds else ""))
 
 
-def near_dedup(docs: DataFrame, shingle: int = 3, budget: int = 3, agree: int = 1) -> DataFrame:
+def near_dedup(docs: DataFrame, shingle: int = 3, budget: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) for every row of (doc_id, text)."""
     marked = tx.stored(fingerprints(docs, shingle), "fingerprints")
     classes = tx.stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "classes")
-    found = components(links(classes.select("fp"), budget, agree))
+    found = components(links(classes.select("fp"), budget, agreement(classes.count(), budget)))
     rooted = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     return marked.join(rooted.join(tx.dealt_anew(least, "root"), "root").select("fp", "component_id"), "fp")
@@ -284,7 +270,7 @@ def candidates(texts: DataFrame, shingle: int, budget: int, kinds: int) -> DataF
     marked = tx.stored(_minwise(texts, shingle, kinds), "fingerprints")
     classes = tx.stored(marked.groupBy("kind", "fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
     few = classes.select("kind", "fp", "least")
-    near = links(classes.select("fp", "kind"), budget, agree=2).distinct()
+    near = links(classes.select("fp", "kind"), budget, agreement(classes.count() // kinds, budget)).distinct()
     near = near.join(few.withColumnsRenamed({"fp": "a", "least": "x"}), ["kind", "a"]).join(few.withColumnsRenamed({"fp": "b", "least": "y"}), ["kind", "b"]).select("x", "y")
     same = marked.join(classes.filter("n > 1").select("kind", F.col("fp").bitwiseXOR(F.lit(0).cast("long")).alias("fp"), "least"), ["kind", "fp"]).select(F.col("doc_id").alias("x"), F.col("least").alias("y"))
     found = components(near.unionByName(same).toDF("a", "b"))
@@ -356,9 +342,9 @@ def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")).alias("text"))
     keyed = tx.stored(texts.select("doc_id", F.sha2("text", 256).alias("digest")), "digests")
     least = keyed.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1").select("digest", "least")
-    equal = keyed.join(tx.dealt_anew(least, "digest"), "digest").filter("doc_id > least").select(F.col("doc_id").alias("_gone")).distinct()
+    equal = keyed.join(tx.dealt_anew(least, "digest"), "digest").filter("doc_id > least").select("doc_id").distinct()
     gone = tx.stored(equal, "equal")
-    rest = texts.join(gone, texts["doc_id"] == gone["_gone"], "left_anti")
+    rest = tx.without(texts, gone)
     open_ = tx.stored(candidates(rest, shingle, budget, kinds), "members")
     members = rest.join(open_, "doc_id")
     size = members.groupBy("leader").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
@@ -370,12 +356,12 @@ def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(n, "task").sortWithinPartitions("task", "leader")
     found = tx.stored(dealt.mapInArrow(_verified(shingle, similarity), "a long, b long, whole boolean"), "verified")
-    gone = gone.unionByName(found.filter("whole").select(F.col("a").alias("_gone")))
+    gone = gone.unionByName(found.filter("whole").select(F.col("a").alias("doc_id")))
     parted = found.filter("not whole")
     if not parted.isEmpty():
-        gone = gone.unionByName(components(parted.select("a", "b")).select(F.col("node").alias("_gone")))
+        gone = gone.unionByName(components(parted.select("a", "b")).select(F.col("node").alias("doc_id")))
     # rows that repeat an id are copies of one document: the first of equal rows is enough
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return tx.without(docs, gone)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,10 @@ inside a longer sequence, words can be cut from bytes without decoding. Null tex
 
 from __future__ import annotations
 
+import contextlib
 import os
+import re
+import threading
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -14,6 +17,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +32,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _tables: dict[str, np.ndarray] = {}
+_lock, _writers, _before = threading.Lock(), 0, None
 
 
 def _table(name: str) -> np.ndarray:
@@ -156,8 +161,13 @@ def crc_mod(col: str | Column, n: int) -> Column:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Texts go to Python in small batches, so that a worker's memory doesn't follow their length."""
+    """Texts go to Python in small batches, so that a worker's memory doesn't follow their length.
+
+    These two settings stay on the session, as frames are run after a query has returned; values that the caller set are kept.
+    """
     for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))):
+        if not spark.conf.isModifiable(key) or spark.sparkContext.getConf().contains(key):
+            continue
         spark.conf.set(key, value)
 
 
@@ -169,10 +179,12 @@ def file_system(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; one of our own only where none is set."""
+    """The folder that the driver and all executors share; one of our own only where none is set and all run on one machine."""
     small_batches(spark)
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = os.path.join(os.environ.get("TMPDIR", "/tmp"), "lodestone-shared")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(root)
@@ -184,17 +196,41 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")  # the written table takes the place of the shuffle files
+@contextlib.contextmanager
+def _cleaned_up(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go once a query ends, while any thread is in here."""
+    global _writers, _before
+    with _lock:
+        if not _writers:
+            _before = spark.conf.get(_CLEANUP, None)
+            spark.conf.set(_CLEANUP, "true")
+        _writers += 1
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        yield
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+        with _lock:
+            _writers -= 1
+            if not _writers:
+                spark.conf.unset(_CLEANUP) if _before is None else spark.conf.set(_CLEANUP, _before)
+
+
+def store(df: DataFrame, name: str) -> str:
+    """Write a table to the shared folder: its path."""
+    path = scratch(df.sparkSession, name)
+    with _cleaned_up(df.sparkSession):  # the written table takes the place of the shuffle files
+        df.write.option("compression", "zstd").parquet(path)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it again: cuts the lineage and survives lost executors."""
+    return df.sparkSession.read.schema(df.schema).parquet(store(df, name))
+
+
+def read_folder(path: str) -> pa.Table:
+    """A small table of ours, read whole in a task."""
+    folder, at = file_system(path)
+    return pq.read_table(at, filesystem=folder)
 
 
 def dealt_anew(df: DataFrame, key: str) -> DataFrame:
@@ -214,6 +250,25 @@ def drop_stored(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """`name`, with underscores before it until no column of `docs` is called so."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
+def own(docs: DataFrame) -> list[Column]:
+    """The columns of `docs`, whatever they are called."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of `docs` whose doc_id isn't in `gone` (doc_id); null ids stay. No column name can clash."""
+    d, g = docs.alias("_docs"), gone.alias("_gone")
+    return d.join(g, F.col("_docs.doc_id") == F.col("_gone.doc_id"), "left_anti")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 

@@ -5,14 +5,17 @@ of its hash and of the hashes of its first 3 to 7 bytes, so that unseen inflecti
 Filters of several widths run over the sequence, the greatest response of each filter over the whole text is
 kept, and a logistic layer scores these. All of it is trained here, in numpy, by Adam on log loss from a bounded
 sample of labelled rows (`TRAIN_ROWS`, half of each label where there are enough, chosen by a hash of the id);
-whole texts are used for training and scoring. A bias fitted on the sample's true label shares undoes the
-balancing. Thresholds are calibrated per language on all clean labelled rows that were not fitted on (a fifth of
+whole texts are used for training and scoring. Half of what the true label shares ask for is added to the
+logit, between the balanced sample's scores and calibrated ones: full calibration loses recall at the cut, none precision. Thresholds are calibrated per language on all clean labelled rows that were not fitted on (a fifth of
 the sample, by a hash of the id, and all rows outside it): the lowest score at which the language's false positives
 stay within `MAX_FALSE`; the language picks the threshold, never enters the score. A language with too few clean
 rows for one of them to be within `MAX_FALSE` takes the common threshold, so no single row sets one.
 
 Defined results: null and empty texts are one padding word; without labelled rows of both kinds every score is
-the share of label 1 (0.5 without rows); null labels are left out; an unknown language takes the common threshold.
+the share of label 1 (0.5 without rows); null labels are left out; an unknown language takes the common threshold;
+rows that share an id are scored each and are one row of the sample (that with the least text); of labels that
+contradict each other the greater holds; an empty table gives no rows; own columns called like a result's keep their
+values in `clean`. Training holds the sample's whole texts in one task, scoring one text at a time in a worker.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm import textops as tx
 
@@ -180,7 +184,8 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> tuple
         picked = some if picked is None else picked.unionByName(some)
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), lang.alias("lang")).join(F.broadcast(picked), "doc_id")
-    return rows.select("doc_id", "text", "label", "lang"), counts.get(1, 0) / total
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("text", "label", "lang")).alias("r"))  # an id is one row of the sample, however often it repeats
+    return rows.select("doc_id", "r.text", "r.label", "r.lang"), counts.get(1, 0) / total
 
 
 def ordered(rows: list[tuple]) -> list[tuple]:
@@ -189,12 +194,6 @@ def ordered(rows: list[tuple]) -> list[tuple]:
     return [r[1:] for r in rows]
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> tuple[list, float]:
-    """`sampled`, gathered as (text, label, lang)."""
-    rows, share = sampled(docs, labels, label, limit)
-    return ordered(rows.collect()) if rows is not None else [], share
-
-
 def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> tuple[Network, dict]:
     """The network, fitted in one task on the bounded sample, and its thresholds by language (None: common).
 
@@ -258,29 +257,39 @@ def fitted(rows: list[tuple], share: float) -> Network:
     return net.fit([r[0] for r in rows], np.array([r[1] for r in rows], np.float32), share)
 
 
-def score(docs: DataFrame, net: Network, limits: dict) -> DataFrame:
-    """`docs` with score and flagged (score at or above its language's threshold), as _score and _flagged."""
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast((net.p, net.shift, net.constant))  # of fixed size
-    fields = docs.schema.fieldNames()
-
-    lang = "lang" if "lang" in fields else None
+def _scored(docs: DataFrame, net: Network, limits: dict) -> tuple[DataFrame, str, str]:
+    """`docs` with score and flagged, under names that none of its own columns has, and these names."""
+    model = docs.sparkSession.sparkContext.broadcast((net.p, net.shift, net.constant))  # of fixed size
+    text, score_, flagged = (tx.fresh(docs, x) for x in ("_bytes", "_score", "_flagged"))
+    lang = "lang" if "lang" in docs.columns else None
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Network.__new__(Network)
         own.p, own.shift, own.constant = model.value
         for batch in batches:
-            at = batch.schema.get_field_index("_text")
-            found = own.scores(*tx.binary_column(batch, "_text"))
-            rest = [i for i in range(batch.num_columns) if i != at]
+            found = own.scores(*tx.binary_column(batch, text))
             if lang:
                 floor = np.array([limits.get(x, limits[None]) for x in batch.column(batch.schema.get_field_index(lang)).to_pylist()])
             else:
                 floor = np.full(len(found), limits[None])
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), pa.array(found), pa.array(found >= floor)], [*(batch.schema.names[i] for i in rest), "_score", "_flagged"])
+            names = batch.schema.names[:-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found), pa.array(found >= floor)], [*names, score_, flagged])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(score_, T.DoubleType()), T.StructField(flagged, T.BooleanType())])
+    return docs.select(*tx.own(docs), F.col("text").cast("binary").alias(text)).mapInArrow(keep, schema), score_, flagged
+
+
+def score(docs: DataFrame, net: Network, limits: dict) -> DataFrame:
+    """`docs` with _score and _flagged (at or above its language's threshold), in place of own columns of these names."""
+    scored, score_, flagged = _scored(docs, net, limits)
+    rest = [c for c in docs.columns if c.lower() not in ("_score", "_flagged")]
+    return scored.select(*(scored[f"`{c}`"] for c in rest), F.col(score_).alias("_score"), F.col(flagged).alias("_flagged"))
+
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.withColumn("_text", F.col("text").cast("binary")).mapInArrow(keep, f"{schema}, _score double, _flagged boolean")
+def clean(docs: DataFrame, net: Network, limits: dict) -> DataFrame:
+    """`docs` without the flagged rows, in all its columns."""
+    scored, _, flagged = _scored(docs, net, limits)
+    return scored.filter(~F.col(flagged)).select(*tx.own(docs))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
