@@ -6,7 +6,6 @@ Every stage works on all rows that its predecessor kept; all but the last return
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, mixing, simhash, token_files, toxicity
 from lodestone.llm import textops as tx
@@ -15,7 +14,7 @@ from lodestone.llm import textops as tx
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below their language's toxicity threshold; learnt from all labels of the input rows."""
     net, limits = toxicity.train(docs, tx.read_table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, net, limits).filter(~F.col("_flagged")).select(*docs.columns)
+    return toxicity.clean(docs, net, limits)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
