@@ -28,6 +28,7 @@ from lodestone.llm import textops as tx
 from lodestone.llm.graph import components, unite
 
 BITS = 64
+GROUPED = 60_000  # rows whose tries are held at once; a larger group alone
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -171,7 +172,10 @@ def links(classes: DataFrame, budget: int = 3, agree: int = 1, crowd: int = 100_
     number = lambda k: F.col("kind") * len(chosen) + k if kinds else F.lit(k)
     part = F.explode(F.array(*[F.struct(number(k).alias("block"), v.alias("value")) for k, v in enumerate(value)]))
     dealt = classes.select("fp", part.alias("p")).select("fp", "p.block", "p.value")
-    crowded = tx.stored(dealt.groupBy("block", "value").agg(F.count("*").alias("n")).filter(F.col("n") > crowd), "crowded")
+    # how crowded a value is only decides how it is dealt out, so an estimate from the classes of some hashes is enough
+    rate = max(1, crowd // 1000)
+    some = dealt.filter(F.pmod(F.xxhash64("fp", F.lit(5)), F.lit(rate)) == 0)
+    crowded = tx.stored(some.groupBy("block", "value").agg((F.count("*") * rate).alias("n")).filter(F.col("n") > crowd), "crowded")
     if not crowded.isEmpty():
         dealt = dealt.join(crowded, ["block", "value"], "left")
         portions = F.ceil(F.coalesce("n", F.lit(1)) / crowd).cast("int")
@@ -192,11 +196,18 @@ def links(classes: DataFrame, budget: int = 3, agree: int = 1, crowd: int = 100_
         group = table.column(1).to_numpy().view(np.uint64)
         order = np.lexsort((fp, group))
         fp, group = fp[order], group[order]
-        i, j = trie_join(group, fp, budget)
-        found = [pa.array(fp[i].view(np.int64)), pa.array(fp[j].view(np.int64))]
-        if kinds:
-            found.append(pa.array(table.column(2).to_numpy()[order][i]))
-        yield pa.RecordBatch.from_arrays(found, ["a", "b", "kind"][: len(found)])
+        kind = table.column(2).to_numpy()[order] if kinds else None
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
+        a = 0
+        while a < len(fp):  # whole groups, some at a time: the tries' tables stay small
+            b = max(int(cut[np.searchsorted(cut, a + GROUPED, "right") - 1]), int(cut[np.searchsorted(cut, a, "right")]))
+            i, j = trie_join(group[a:b], fp[a:b], budget)
+            found = [pa.array(fp[a:b][i].view(np.int64)), pa.array(fp[a:b][j].view(np.int64))]
+            if kinds:
+                found.append(pa.array(kind[a:b][i]))
+            if len(i):
+                yield pa.RecordBatch.from_arrays(found, ["a", "b", "kind"][: len(found)])
+            a = b
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     also = [F.floor(F.col("block") / len(chosen)).cast("int").alias("kind")] if kinds else []
@@ -231,8 +242,8 @@ def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
 @lru_cache
 def _hashes(n: int) -> tuple[np.ndarray, np.ndarray]:
     """What `n` hashes flip and multiply by."""
-    flip, factor = np.random.default_rng(17).integers(0, 1 << 63, (2, n, 1), dtype=np.uint64)
-    return flip, factor << np.uint64(1) | np.uint64(1)
+    flip, factor = np.random.default_rng(17).integers(0, 1 << 32, (2, n, 1), dtype=np.uint32)
+    return flip, factor | np.uint32(1)
 
 
 def minwise_fingerprints(found: np.ndarray, kinds: int) -> np.ndarray:
@@ -243,11 +254,13 @@ def minwise_fingerprints(found: np.ndarray, kinds: int) -> np.ndarray:
     if not len(found):
         return np.zeros(kinds, np.uint64)
     flip, factor = _hashes(kinds * BITS)
-    least = np.full(kinds * BITS, np.iinfo(np.uint64).max)
-    with np.errstate(over="ignore"):
-        for at in range(0, len(found), 256):
-            np.minimum(least, ((found[at : at + 256] ^ flip) * factor).min(axis=1), out=least)
-    bits = (tx.mix(least) & np.uint64(1)).astype(np.uint8)
+    least = np.full(kinds * BITS, np.iinfo(np.uint32).max)
+    found = (found >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(found), 512):
+        x = found[at : at + 512] ^ flip
+        x *= factor
+        np.minimum(least, x.min(axis=1), out=least)
+    bits = (tx.mix(least.astype(np.uint64)) & np.uint64(1)).astype(np.uint8)
     return np.packbits(bits.reshape(kinds, BITS), axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 

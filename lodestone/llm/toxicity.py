@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -194,14 +194,14 @@ def ordered(rows: list[tuple]) -> list[tuple]:
     return [r[1:] for r in rows]
 
 
-def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> tuple[Network, dict]:
-    """The network, fitted in one task on the bounded sample, and its thresholds by language (None: common).
+def _network(docs: DataFrame, labels: DataFrame, limit: int) -> tuple[Network, DataFrame | None]:
+    """The network, fitted in one task on the bounded sample, and the ids it was fitted on (None: it is a constant).
 
     The driver gets the weights only; a lost executor's task starts again and gives the same weights.
     """
     rows, share = sampled(docs, labels, "toxic", limit)
     if rows is None:
-        return fitted([], share), {None: CUT}
+        return fitted([], share), None
     used = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(5)) != 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,16 +211,29 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> tuple[
 
     found = used.repartition(1).mapInArrow(run, "model binary").collect()
     if not found:
-        return fitted([], share), {None: CUT}
+        return fitted([], share), None
     net = Network.__new__(Network)
     net.__dict__.update(pickle.loads(bytes(found[0]["model"])))
-    if net.constant is not None:
-        return net, {None: CUT}
+    return net, used.select("doc_id").distinct() if net.constant is None else None
+
+
+def _limits(scored: DataFrame, labels: DataFrame, used: DataFrame | None) -> dict:
+    """Thresholds over (doc_id, lang, _score) rows that are labelled clean and weren't fitted on."""
+    if used is None:
+        return {None: CUT}
     clean = labels.groupBy("doc_id").agg(F.max(F.when(F.col("toxic").isin(0, 1), F.col("toxic"))).alias("label")).filter("label = 0").select("doc_id")
-    clean = clean.join(F.broadcast(used.select("doc_id").distinct()), "doc_id", "left_anti")  # at most `limit` ids
-    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    scored = score(docs.select("doc_id", "text", lang.alias("lang")), net, {None: CUT}).select("doc_id", "lang", "_score")
-    return net, thresholds(scored.join(clean, "doc_id"))
+    clean = clean.join(F.broadcast(used), "doc_id", "left_anti")  # at most the sample's rows
+    return thresholds(scored.select("doc_id", "lang", "_score").join(clean, "doc_id"))
+
+
+def _lang(docs: DataFrame) -> Column:
+    return (F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")).alias("lang")
+
+
+def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> tuple[Network, dict]:
+    """The network and its thresholds by language (None: common)."""
+    net, used = _network(docs, labels, limit)
+    return net, _limits(score(docs.select("doc_id", "text", _lang(docs)), net, {None: CUT}), labels, used)
 
 
 def thresholds(clean: DataFrame) -> dict:
@@ -286,14 +299,26 @@ def score(docs: DataFrame, net: Network, limits: dict) -> DataFrame:
     return scored.select(*(scored[f"`{c}`"] for c in rest), F.col(score_).alias("_score"), F.col(flagged).alias("_flagged"))
 
 
-def clean(docs: DataFrame, net: Network, limits: dict) -> DataFrame:
-    """`docs` without the flagged rows, in all its columns."""
-    scored, _, flagged = _scored(docs, net, limits)
-    return scored.filter(~F.col(flagged)).select(*tx.own(docs))
+def _flag(score_: Column, lang: Column, limits: dict) -> Column:
+    """Whether a score is at or above its language's threshold."""
+    known = [x for k, v in limits.items() if k is not None for x in (F.lit(k), F.lit(v))]
+    return score_ >= (F.coalesce(F.create_map(*known)[lang], F.lit(limits[None])) if known else F.lit(limits[None]))
+
+
+def clean(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> DataFrame:
+    """`docs` without the rows that a network trained on `labels` flags, in all its columns: scored once, stored, then cut."""
+    net, used = _network(docs, labels, limit)
+    scored, score_, flagged = _scored(docs, net, {None: CUT})
+    scored = tx.stored(scored.drop(flagged), "scored")
+    limits = _limits(scored.select("doc_id", _lang(docs), F.col(score_).alias("_score")), labels, used)
+    return scored.filter(~_flag(F.col(score_), _lang(docs), limits)).select(*tx.own(docs))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = tx.documents(spark, sf_dir), tx.read_table(spark, sf_dir, "labels")
-    net, limits = train(docs, labels.filter(tx.crc_mod("doc_id", 3) != 1))
-    scored = score(docs.select("doc_id", "text", "lang"), net, limits)
-    return scored.select("doc_id", (tx.crc_mod("doc_id", 3) == 1).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= CUT).cast("int").alias("predicted"), F.col("_flagged").alias("flagged"))
+    labels = labels.filter(tx.crc_mod("doc_id", 3) != 1)
+    net, used = _network(docs, labels, TRAIN_ROWS)
+    scored = score(docs.select("doc_id", "text", "lang"), net, {None: CUT}).select("doc_id", "lang", "_score")
+    scored = tx.stored(scored, "scores")
+    flagged = _flag(F.col("_score"), F.col("lang"), _limits(scored, labels, used))
+    return scored.select("doc_id", (tx.crc_mod("doc_id", 3) == 1).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= CUT).cast("int").alias("predicted"), flagged.alias("flagged"))

@@ -216,9 +216,9 @@ def test_clashing_names(spark):
     word = lambda: "".join(r.choice("aeioust") for _ in range(5))
     rows = [(i, " ".join([*(word() for _ in range(30)), *(["zork"] if i % 5 == 0 else [])]), "en", "ab"[i % 2], *range(99, 99 + len(names))) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` int" for c in names))
-    net, limits = toxicity.train(docs, spark.createDataFrame([(r[0], int(r[0] % 5 == 0)) for r in rows], "doc_id long, toxic int"))
+    labels = spark.createDataFrame([(r[0], int(r[0] % 5 == 0)) for r in rows], "doc_id long, toxic int")
     bench = spark.createDataFrame([(1, rows[1][1])], "item_id long, text string")
-    for stage in (lambda d: toxicity.clean(d, net, limits), simhash.representatives, lambda d: decontaminate.clean(d, bench), mixing.emitted):
+    for stage in (lambda d: toxicity.clean(d, labels), simhash.representatives, lambda d: decontaminate.clean(d, bench), mixing.emitted):
         out = stage(docs)
         assert out.columns == docs.columns
         got = {tuple(x) for x in out.collect()}
