@@ -13,8 +13,7 @@ from lodestone.llm import textops as tx
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below their language's toxicity threshold; learnt from all labels of the input rows."""
-    net, limits = toxicity.train(docs, tx.read_table(spark, sf_dir, "labels"))
-    return toxicity.clean(docs, net, limits)
+    return toxicity.clean(docs, tx.read_table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
