@@ -241,8 +241,8 @@ class Item:
         return share, answer, share >= LCS or share >= LCS_ANSWER and answer
 
 
-def _stripped(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word as `_words` cuts it, words per text)."""
+def _hashed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket of each word, hash of each word as `_words` cuts it, words per text)."""
     starts, ends, rows = tx.word_spans(data, offsets)
     a, b = starts.copy(), ends.copy()
     for at, step in ((a, 1), (b, -1)):
@@ -253,7 +253,8 @@ def _stripped(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
             todo = todo[a[todo] < b[todo]]
     none = a >= b
     a[none], b[none] = starts[none], ends[none]
-    return tx.word_hashes(data, a, b, lower=True), rows
+    whole, cut = tx.span_hashes(data, starts, ends, [(starts, ends), (a, b)], lower=True)
+    return (whole & np.uint64(BUCKETS - 1)).astype(np.int32), cut, rows
 
 
 class Gate:
@@ -280,9 +281,8 @@ class Gate:
         self.first = np.searchsorted(pair // len(items), np.arange(len(self.vocabulary) + 1))
         self.answer = np.bincount(self.owner, self.answers, len(items)).astype(np.int64)
 
-    def found(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, number of the stretch, item)."""
-        hashes, rows = _stripped(data, offsets)
+    def found(self, hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, number of the stretch, item), from the words' hashes and the words of each text."""
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
         known = np.flatnonzero(self.vocabulary[at] == hashes)
         stretches = -(-rows // self.span)
@@ -332,7 +332,7 @@ class Search:
     def found(self, part: np.ndarray, off: np.ndarray, only_candidates: bool) -> Iterator[tuple]:
         """(text, item, cosine, share, answer) of the texts that leak an item."""
         table, power, vectors, owner, checks = self.table, self.power, self.vectors, self.owner, self.checks
-        bucket, size = _buckets(part, off)
+        bucket, stripped, size = _hashed(part, off)
         blocks = -(-size // STRIDE)
         if not blocks.sum() or self.gate is None:
             return
@@ -374,7 +374,7 @@ class Search:
             for doc, item, low, c in zip(of[pick[i]].tolist(), owner[j].tolist(), (start[pick[i]] - first[of[pick[i]]]).tolist(), cos[i, j].tolist(), strict=True):
                 reach = len(checks[item].words)
                 keep(doc, item, c, (0.0, False, True) if only_candidates else checks[item].check(words(doc)[max(0, low - reach) : low + WINDOW + reach]))
-        for doc, stretch, item in () if only_candidates else zip(*(x.tolist() for x in self.gate.found(part, off)), strict=True):
+        for doc, stretch, item in () if only_candidates else zip(*(x.tolist() for x in self.gate.found(stripped, size)), strict=True):
             item = int(self.worded[item])
             reach, low = len(checks[item].words), stretch * self.gate.span
             if not checks[item].check(words(doc)[low : low + 2 * self.gate.span])[2]:

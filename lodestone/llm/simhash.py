@@ -343,7 +343,7 @@ def _verified(shingle: int, similarity: float):
     return run
 
 
-def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, budget: int = 8, kinds: int = 4, crowd: int = 1000, room: int = 32 << 20) -> DataFrame:
+def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, budget: int = 8, kinds: int = 4, crowd: int = 300, room: int = 32 << 20) -> DataFrame:
     """`docs` without near copies: of each group one row, that of the smallest id, stays in all its columns.
 
     Equal texts go at once. Of the others, fingerprints of the shingle sets propose components. In each, every pair of

@@ -103,31 +103,46 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.diff(np.searchsorted(starts, offsets))
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A mixed 64-bit polynomial hash of each word, from running sums over blocks of bytes."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, spans: list[tuple[np.ndarray, np.ndarray]], lower: bool = False) -> list[np.ndarray]:
+    """Mixed 64-bit polynomial hashes of spans inside each word, from running sums over blocks of bytes."""
     powers, inverse, table = _table("pow"), _table("inv"), _table("byte")
     if lower:
         table = table[_LOWER]
-    out, i, n = np.empty(len(starts), np.uint64), 0, len(starts)
+    out, i, n = [np.empty(len(starts), np.uint64) for _ in spans], 0, len(starts)
+    factor = np.uint64(0xD6E8FEB86659FD93)
     with np.errstate(over="ignore"):
+
+        def alone(s: int, e: int) -> np.uint64:
+            if e - s <= _BLOCK:
+                return (table[data[s:e]] * powers[: e - s]).sum(dtype=np.uint64) + np.uint64(e - s) * factor
+            h = np.uint64(0)
+            while s < e:  # a word longer than a block: folded piece by piece
+                piece = data[s : min(s + _BLOCK, e)]
+                h = mix(np.array([h + (table[piece] * powers[: len(piece)]).sum(dtype=np.uint64)], np.uint64))[0]
+                s += _BLOCK
+            return h
+
         while i < n:
             at = starts[i]
             j = max(i + 1, int(np.searchsorted(ends, at + _BLOCK, "right")))
-            if ends[i] - at > _BLOCK:  # one word longer than a block: folded piece by piece
-                h, p = np.uint64(0), at
-                while p < ends[i]:
-                    piece = data[p : min(p + _BLOCK, ends[i])]
-                    h = mix(np.array([h + (table[piece] * powers[: len(piece)]).sum(dtype=np.uint64)], np.uint64))[0]
-                    p += _BLOCK
-                out[i], i = h, i + 1
+            if ends[i] - at > _BLOCK:
+                for x, (s, e) in zip(out, spans, strict=True):
+                    x[i] = alone(int(s[i]), int(e[i]))
+                i += 1
                 continue
             piece = data[at : ends[j - 1]]
             run = np.zeros(len(piece) + 1, np.uint64)
             np.cumsum(table[piece] * powers[: len(piece)], out=run[1:])
-            s, e = starts[i:j] - at, ends[i:j] - at
-            out[i:j] = (run[e] - run[s]) * inverse[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+            for x, (s, e) in zip(out, spans, strict=True):
+                s_, e_ = s[i:j] - at, e[i:j] - at
+                x[i:j] = (run[e_] - run[s_]) * inverse[s_] + (e_ - s_).astype(np.uint64) * factor
             i = j
-    return mix(out)
+    return [mix(x) for x in out]
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """A mixed 64-bit hash of each word."""
+    return span_hashes(data, starts, ends, [(starts, ends)], lower)[0]
 
 
 def split(text: bytes | None) -> list[bytes]:

@@ -54,8 +54,8 @@ def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         starts = starts + (longer & _EDGE[data[starts]]) if len(starts) else starts
         longer = ends - starts > 1
         ends = ends - (longer & _EDGE[data[ends - 1]]) if len(ends) else ends
-    found = [tx.word_hashes(data, starts, ends, lower=True)]
-    found += [tx.word_hashes(data, starts, np.minimum(ends, starts + k), lower=True) + np.uint64(k) for k in PREFIXES]
+    spans = [(starts, ends), *((starts, np.minimum(ends, starts + k)) for k in PREFIXES)]
+    found = [h + np.uint64(k) for h, k in zip(tx.span_hashes(data, starts, ends, spans, lower=True), (0, *PREFIXES), strict=True)]
     x = np.stack([tx.mix(f) % np.uint64(BUCKETS - 1) + np.uint64(1) for f in found], 1).astype(np.int32)
     none = rows == 0
     if none.any():
