@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
+from lodestone.sources.tables import settled
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -37,28 +40,36 @@ def outlink_vectors(links: DataFrame, total: DataFrame) -> DataFrame:
     return links.join(n, "target").select("page_id", "target", "w")
 
 
-def tree_depths(edges: DataFrame, root: str, rounds: int = 64) -> DataFrame:
-    """(node, depth): least number of edges from `root` over (parent, child); nodes out of reach are absent."""
-    spark = edges.sparkSession
-    found = spark.createDataFrame([(root, 0)], "node string, depth int")
-    front = found
-    for depth in range(1, rounds):
-        front = edges.join(front.select(F.col("node").alias("parent")), "parent").select(F.col("child").alias("node")).distinct().join(found.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+def tree_depths(edges: DataFrame, root: Any) -> DataFrame:
+    """(node, depth): least number of edges from `root` over (parent, child); nodes out of reach are absent.
+
+    A frontier a step, each checkpointed, until one is empty: as many steps as the graph is deep, no bound on it.
+    """
+    kind = dict(edges.dtypes)["child"]
+    found = edges.sparkSession.range(1).select(F.lit(root).cast(kind).alias("node"), F.lit(0).alias("depth"))
+    front, depth = found, 0
+    while True:
+        depth += 1
+        front = settled(edges.join(front.select(F.col("node").alias("parent")), "parent").select(F.col("child").alias("node")).distinct().join(found.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             return found
         found = found.unionByName(front)
-    raise RuntimeError(f"depths did not settle in {rounds} rounds")
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
+def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float | None = None) -> DataFrame:
     """(node, rank) over (src, dst, freq): V' = damping * M V + (1 - damping) / n, M from link shares, nodes without
-    outlinks passing nothing on. Written to the checkpoint folder every round."""
-    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct().checkpoint()
+    outlinks passing nothing on. `rounds` steps as given, or with a `tolerance` until no rank moves by more, however
+    many that takes. Checkpointed every round."""
+    nodes = settled(edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct())
     n = nodes.count()
     out = edges.groupBy("src").agg(F.sum("freq").alias("all"))
-    share = edges.join(out, "src").select("src", "dst", (F.col("freq") / F.col("all")).alias("p")).checkpoint()
-    rank = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
-    for _ in range(rounds):
+    share = settled(edges.join(out, "src").select("src", "dst", (F.col("freq") / F.col("all")).alias("p")))
+    rank, step = nodes.withColumn("rank", F.lit(1.0 / max(n, 1))), 0
+    while tolerance is not None or step < rounds:
         given = share.join(rank, share["src"] == rank["node"]).groupBy("dst").agg(F.sum(F.col("p") * F.col("rank")).alias("got"))
-        rank = nodes.join(given, nodes["node"] == given["dst"], "left").select("node", (damping * F.coalesce("got", F.lit(0.0)) + (1 - damping) / n).alias("rank")).checkpoint()
+        after = settled(nodes.join(given, nodes["node"] == given["dst"], "left").select("node", (damping * F.coalesce("got", F.lit(0.0)) + (1 - damping) / n).alias("rank")))
+        moved = None if tolerance is None else after.join(rank.withColumnRenamed("rank", "was"), "node").agg(F.max(F.abs(F.col("rank") - F.col("was")))).first()[0]
+        rank, step = after, step + 1
+        if tolerance is not None and (moved is None or moved <= tolerance):
+            break
     return rank

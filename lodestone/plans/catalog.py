@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 from lodestone.operators import index, learn, links, models, sequences
+from lodestone.plans.base import QUERIES, SQL, query  # noqa: F401
+from lodestone.plans.base import rounded as _round
 from lodestone.sources.tables import read
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 FLAGSHIP = "esa_concept_vector"
 
 _STOP = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
@@ -54,18 +52,6 @@ ins AS (SELECT target, count(*) AS n_pages, CAST(sum(freq) AS BIGINT) AS n_links
 """
 
 
-def query(sql: str | None = None):
-    """Register a query under its function's name."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _docs(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents")
 
@@ -89,10 +75,6 @@ def _concepts(spark: SparkSession, d: str) -> DataFrame:
     return index.concept_vectors(read(spark, d, "benchmark"), "item_id", index.pruned_postings(weights), idf)
 
 
-def _round(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in columns})
-
-
 @query(f"WITH {_INDEX} SELECT doc_id, term, n FROM tf")
 def term_counts(spark, d):
     return _counts(spark, d)
@@ -183,20 +165,13 @@ depths AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node)
 """
 
 
-def _checkpoints(spark: SparkSession) -> None:
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/lodestone-checkpoints")
-
-
 @query(f"WITH RECURSIVE {_TREE} SELECT node, depth FROM depths")
 def category_depths(spark, d):
-    _checkpoints(spark)
     return links.tree_depths(_tree(spark, d), "root")
 
 
 @query(f"WITH RECURSIVE {_TREE} SELECT depth, count(*) AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) AS percent FROM depths GROUP BY depth")
 def category_depth_histogram(spark, d):
-    _checkpoints(spark)
     found = links.tree_depths(_tree(spark, d), "root")
     whole = found.agg(F.count("*").alias("all"))
     return found.groupBy("depth").agg(F.count("*").alias("n")).crossJoin(F.broadcast(whole)).select("depth", "n", F.round(100.0 * F.col("n") / F.col("all"), 6).alias("percent"))
@@ -205,7 +180,6 @@ def category_depth_histogram(spark, d):
 @query()
 def part_pagerank(spark, d):
     """PageRank of suppliers over parts that one order line follows with another: iterative, checked by its sum in tests."""
-    _checkpoints(spark)
     lines = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("src"))
     after = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("src").alias("dst"))
     edges = lines.join(after, ["l_orderkey", "l_linenumber"]).groupBy("src", "dst").agg(F.count("*").alias("freq"))
@@ -535,3 +509,6 @@ def latent_topics(spark, d):
 @query()
 def k_means_clusters(spark, d):
     return models.k_means(read(spark, d, "embeddings"), "vec_id", "embedding")
+
+
+from lodestone.plans import categories, mining  # noqa: E402,F401
