@@ -36,16 +36,23 @@ class Views(dict):
 
     def text(self, *names: str, last: str = "") -> str:
         """A WITH clause of views and what they use, and a query over them."""
-        need = [n for n in self if any(n == x or self._uses(x, n) for x in names)]
-        return "WITH RECURSIVE " + ", ".join(f"{n} AS ({self[n]})" for n in need) + " " + last
-
-    def _uses(self, name: str, other: str) -> bool:
-        words = set(re.findall(r"\w+", self[name]))
-        return other in words or any(self._uses(x, other) for x in words if x in self and x != name)
+        need: set[str] = set()
+        for name in names:
+            self._collect(name, need)
+        return "WITH RECURSIVE " + ", ".join(f"{n} AS ({self[n]})" for n in self if n in need) + " " + last
+
+    def _collect(self, name: str, need: set[str]) -> None:
+        """What a view needs: earlier views whose names stand in it."""
+        need.add(name)
+        words, keys = set(re.findall(r"\w+", self[name])), list(self)
+        for x in keys[: keys.index(name)]:
+            if x in words and x not in need:
+                self._collect(x, need)
 
     def frame(self, spark: SparkSession, folder: str, name: str) -> DataFrame:
         sql = self.text(name, last=f"SELECT * FROM {name}").replace("WITH RECURSIVE", "WITH")
         used = [t for t in TABLES if re.search(rf"\b{t}\b", sql)]
+        sql = sql.replace("{", "{{").replace("}", "}}")
         for t in used:
             sql = re.sub(rf"\b{t}\b", "{" + t + "}", sql)
         return spark.sql(sql, **{t: read(spark, folder, t) for t in used})

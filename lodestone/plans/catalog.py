@@ -511,4 +511,4 @@ def k_means_clusters(spark, d):
     return models.k_means(read(spark, d, "embeddings"), "vec_id", "embedding")
 
 
-from lodestone.plans import categories, mining  # noqa: E402,F401
+from lodestone.plans import categories, joins, mining, relatedness, wikitext  # noqa: E402,F401
