@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources.tables import settled
+
 
 def naive_bayes(counts: DataFrame, labels: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(label, term, logp) of seen pairs, and (label, prior, unseen): Laplace over the vocabulary and the classes."""
@@ -23,15 +25,15 @@ def naive_bayes(counts: DataFrame, labels: DataFrame, key: str = "doc_id") -> tu
 def naive_bayes_predict(counts: DataFrame, model: DataFrame, priors: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, label, score): log prior + sum n * log p for every row and label."""
     size = counts.groupBy(key).agg(F.sum("n").alias("size"))
-    gain = counts.join(model, "term").join(F.broadcast(priors), "label").groupBy(key, "label").agg(F.sum(F.col("n") * (F.col("logp") - F.col("unseen"))).alias("gain"))  # a row per class
-    base = size.crossJoin(F.broadcast(priors))
+    gain = counts.join(model, "term").join(priors, "label").groupBy(key, "label").agg(F.sum(F.col("n") * (F.col("logp") - F.col("unseen"))).alias("gain"))
+    base = size.crossJoin(priors)  # a row per class: the optimiser sees how few
     return base.join(gain, [key, "label"], "left").select(key, "label", (F.col("prior") + F.col("size") * F.col("unseen") + F.coalesce("gain", F.lit(0.0))).alias("score"))
 
 
 def best_label(scores: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, predicted): the label with the greatest score, the smaller label at ties."""
-    w = Window.partitionBy(key).orderBy(F.round("score", 6).desc(), "label")
-    return scores.withColumn("r", F.row_number().over(w)).filter("r = 1").select(key, F.col("label").alias("predicted"))
+    top = scores.groupBy(key, F.round("score", 6).alias("s")).agg(F.min("label").alias("l")).groupBy(key).agg(F.max_by("l", "s").alias("predicted"))
+    return top.select(key, "predicted")
 
 
 def class_measures(pairs: DataFrame) -> DataFrame:
@@ -59,16 +61,39 @@ def information_gain(counts: DataFrame, labels: DataFrame, key: str = "doc_id")
     return t.select("term", (entropy(pos, n) - k / n * entropy(kp, k) - (n - k) / n * entropy(pos - kp, n - k)).alias("gain"))
 
 
+def numbered(rows: DataFrame, *order: str, ascending: bool = True, value: str | None = None) -> DataFrame:
+    """`rows` with number, their place in the order of these columns, from 1; with `value`, its running sum instead.
+
+    No window over everything: rows are range-partitioned, summed within their partition, and the sums of the
+    partitions before (one row a partition) are added.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(c).asc() if ascending else F.col(c).desc() for c in order]
+    dealt = settled(rows.repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id()))
+    own = F.lit(1) if value is None else F.col(value)
+    sizes = dealt.groupBy("_part").agg(F.sum(own).alias("_size"))
+    before = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))  # one row a partition
+    run = F.sum(own).over(Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.withColumn("_run", run).join(before, "_part").withColumn("number", F.col("_run") + F.col("_before")).drop("_part", "_run", "_before")
+
+
 def folds(rows: DataFrame, key: str, label: str, m: int) -> DataFrame:
-    """(key, label, fold): round-robin inside each class, in order of the key."""
-    return rows.select(key, label, ((F.row_number().over(Window.partitionBy(label).orderBy(key)) - 1) % m).alias("fold"))
+    """(key, label, fold): round-robin inside each class, in order of the key.
+
+    A class may hold most rows, so a place in it is its place in the order by class and key, less the rows of the
+    classes before (one row a class).
+    """
+    sizes = rows.groupBy(label).agg(F.count("*").alias("_n"))
+    before = sizes.select(F.col(label).alias("_label"), (F.sum("_n").over(Window.orderBy(label)) - F.col("_n")).alias("_before"))  # one row a class
+    placed = numbered(rows.select(key, label), label, key)
+    return placed.join(before, F.col(label).eqNullSafe(F.col("_label"))).select(key, label, ((F.col("number") - F.col("_before") - 1) % m).alias("fold"))
 
 
 def roc_counts(rows: DataFrame) -> DataFrame:
     """Per distinct score of (score, label 0/1): positives and negatives with a score at or above it."""
     each = rows.groupBy("score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q"))
-    w = Window.orderBy(F.col("score").desc())  # a row per distinct score
-    return each.select("score", F.sum("p").over(w).alias("tp"), F.sum("q").over(w).alias("fp"))
+    tp = numbered(each, "score", ascending=False, value="p").withColumnRenamed("number", "tp")
+    return numbered(tp, "score", ascending=False, value="q").select("score", "tp", F.col("number").alias("fp"))
 
 
 def clustering_measures(rows: DataFrame) -> DataFrame:
@@ -95,7 +120,13 @@ def posteriors(scores: DataFrame, key: str = "doc_id") -> DataFrame:
 def accuracy_at_coverage(rows: DataFrame) -> DataFrame:
     """(score, coverage, accuracy) of (score, correct 0/1): what is covered from the highest score down, and right there."""
     each = rows.groupBy("score").agg(F.count("*").alias("n"), F.sum("correct").alias("k"))
-    w = Window.orderBy(F.col("score").desc())  # a row per distinct score
-    whole = F.broadcast(rows.agg(F.count("*").alias("total")))  # one row
-    run = each.select("score", F.sum("n").over(w).alias("n"), F.sum("k").over(w).alias("k")).crossJoin(whole)
-    return run.select("score", (F.col("n") / F.col("total")).alias("coverage"), (F.col("k") / F.col("n")).alias("accuracy"))
+    whole = rows.agg(F.count("*").alias("total"))
+    run = numbered(numbered(each, "score", ascending=False, value="n").withColumnRenamed("number", "n_run"), "score", ascending=False, value="k").crossJoin(whole)  # one row
+    return run.select("score", (F.col("n_run") / F.col("total")).alias("coverage"), (F.col("number") / F.col("n_run")).alias("accuracy"))
+
+
+def coverage_area(curve: DataFrame) -> DataFrame:
+    """One row: the area under (coverage, accuracy) by trapezoids over 1 to 100 per cent, a unit each."""
+    steps = curve.select(F.explode(F.sequence(F.lit(1), F.lit(100))).alias("at"), "coverage", "accuracy").filter(F.col("coverage") * 100 >= F.col("at") - 1e-9)
+    at = steps.groupBy("at").agg(F.min_by("accuracy", "coverage").alias("y"))
+    return at.agg((F.sum("y") - (F.sum(F.when(F.col("at").isin(1, 100), F.col("y")).otherwise(0.0))) / 2).alias("area"))

@@ -23,10 +23,10 @@ def inlinks(links: DataFrame) -> DataFrame:
 
 def shared_inlinks(links: DataFrame, total: DataFrame) -> DataFrame:
     """(a, b, n_both, similarity): targets that occur on one page; similarity from their inlink sets:
-    1 - (ln max - ln both) / (ln N - ln min). Pairs are formed within a page, whose links are few."""
-    sets = links.groupBy("page_id").agg(F.array_sort(F.collect_set("target")).alias("t"))
-    pair = F.flatten(F.transform("t", lambda a: F.transform(F.filter(F.col("t"), lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    both = sets.select(F.explode(pair).alias("p")).groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("n_both"))
+    1 - (ln max - ln both) / (ln N - ln min). Pairs are rows of a join on the page, combined map-side; their number grows with
+    the square of a page's links, as the result's does."""
+    one = links.select("page_id", F.col("target").alias("a")).distinct()
+    both = one.join(one.withColumnRenamed("a", "b"), "page_id").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n_both"))
     n = inlinks(links).select("target", "n_pages")
     x = both.join(n.select(F.col("target").alias("a"), F.col("n_pages").alias("na")), "a").join(n.select(F.col("target").alias("b"), F.col("n_pages").alias("nb")), "b").crossJoin(F.broadcast(total))  # one row
     low, high = F.least("na", "nb"), F.greatest("na", "nb")

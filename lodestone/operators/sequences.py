@@ -84,10 +84,10 @@ def entropy(counts: DataFrame, key: str = "doc_id") -> DataFrame:
 def divergence(counts: DataFrame, group: str) -> DataFrame:
     """(a, b, js): Jensen-Shannon divergence in bits between the term distributions of groups (few)."""
     size = counts.groupBy(group).agg(F.sum("n").alias("size"))
-    p = counts.join(F.broadcast(size), group).select(group, "term", (F.col("n") / F.col("size")).alias("p"))
-    kinds = F.broadcast(size.select(group))
+    p = counts.join(size, group).select(group, "term", (F.col("n") / F.col("size")).alias("p"))
+    kinds = size.select(group)
     pairs = kinds.select(F.col(group).alias("a")).join(kinds.select(F.col(group).alias("b")), F.col("a") < F.col("b"))
-    side = lambda own: p.join(F.broadcast(pairs), p[group] == pairs[own]).select("a", "b", "term", *(F.when(F.lit(own == s), F.col("p")).otherwise(0.0).alias(s + "p") for s in "ab"))
+    side = lambda own: p.join(pairs, p[group] == pairs[own]).select("a", "b", "term", *(F.when(F.lit(own == s), F.col("p")).otherwise(0.0).alias(s + "p") for s in "ab"))
     both = side("a").unionByName(side("b")).groupBy("a", "b", "term").agg(F.sum("ap").alias("p"), F.sum("bp").alias("q"))
     m = (F.col("p") + F.col("q")) / 2
     term = lambda x: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 from lodestone.operators import index, learn, links, models, sequences
+from lodestone.operators import learners as learners_
 from lodestone.plans.base import QUERIES, SQL, query  # noqa: F401
 from lodestone.plans.base import rounded as _round
 from lodestone.sources.tables import read
@@ -399,7 +400,7 @@ def nearest_centroid(spark, d):
     c = v.groupBy("label", "i").agg(F.avg("x").alias("m")).groupBy(F.col("label").alias("near")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centre"))
     spread = F.aggregate(F.zip_with("embedding", "centre", lambda x, m: (x.cast("double") - m) * (x.cast("double") - m)), F.lit(0.0), lambda a, x: a + x)
     best = F.min(F.struct(F.round(spread, 6).alias("dist"), "near")).alias("b")
-    return e.crossJoin(F.broadcast(c)).groupBy("vec_id", "label").agg(best).select("vec_id", "label", F.col("b.near").alias("near"))  # a row per class
+    return e.crossJoin(c).groupBy("vec_id", "label").agg(best).select("vec_id", "label", F.col("b.near").alias("near"))  # a row per class
 
 
 @query(
@@ -493,7 +494,11 @@ def maximum_entropy_labels(spark, d):
 
 @query()
 def decision_tree_labels(spark, d):
-    return models.decision_tree(_labelled(spark, d))
+    """A tree of presence splits over all terms, grown a level a pass."""
+    rows = _labelled(spark, d)
+    tree = learners_.presence_tree(_counts(spark, d).select("doc_id", "term"), rows.filter("label is not null").select("doc_id", F.col("label").cast("int").alias("label")))
+    terms = _docs(spark, d).select("doc_id", tx.terms(F.col("text")).alias("terms"))
+    return terms.select("doc_id", learners_.presence_label(tree).cast("double").alias("predicted"))
 
 
 @query()
@@ -511,4 +516,4 @@ def k_means_clusters(spark, d):
     return models.k_means(read(spark, d, "embeddings"), "vec_id", "embedding")
 
 
-from lodestone.plans import categories, joins, mining, relatedness, wikitext  # noqa: E402,F401
+from lodestone.plans import categories, joins, learners, mining, relatedness, tagging, wikitext  # noqa: E402,F401

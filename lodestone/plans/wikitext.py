@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 from lodestone.plans.base import Views, query
+from lodestone.sources import tables
 from lodestone.sources.tables import read
 
 VIEWS = Views(
@@ -83,3 +84,24 @@ def parsed_points(spark, d):
     geo = F.concat(F.lit("POINT("), F.col("c_nationkey"), F.lit(".5 "), F.when(F.col("c_custkey") % 7 == 0, "-0").otherwise(F.concat(F.lit("-"), F.col("c_custkey") % 7)), F.lit(".25)"))
     found = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), tx.point(geo).alias("p"))
     return found.select("id", "p.lon", "p.lat", tx.coordinate_key(F.col("p.lon"), F.col("p.lat")).alias("key"))
+
+
+@query(VIEWS.text("wiki", last="SELECT id, title, category FROM (SELECT DISTINCT id, title, trim(unnest(regexp_extract_all(text, '\\[\\[(?i:Category):([^\\]|]+)', 1))) AS category FROM wiki WHERE redirect IS NULL)"))
+def category_store_rows(spark, d):
+    return tables.category_rows(wiki(spark, d))
+
+
+@query(VIEWS.text("wiki", last="SELECT id, trim(regexp_extract(l, '\\[\\[([^\\]|:#]+)\\|([^\\]]+)\\]\\]', 1)) AS target, trim(regexp_extract(l, '\\[\\[([^\\]|:#]+)\\|([^\\]]+)\\]\\]', 2)) AS label FROM (SELECT id, unnest(regexp_extract_all(text, '(\\[\\[[^\\]|:#]+\\|[^\\]]+\\]\\])', 1)) AS l FROM wiki)"))
+def link_labels(spark, d):
+    return tables.anchors(wiki(spark, d))
+
+
+@query(VIEWS.text("wiki", last="SELECT id, title FROM wiki WHERE ns = 0 AND length(title) < 7"))
+def short_titles(spark, d):
+    return wiki(spark, d).filter("ns = 0").filter(F.length("title") < 7).select("id", "title")
+
+
+@query("SELECT doc_id, coalesce(text, '') AS text FROM documents")
+def gzip_round_trip(spark, d):
+    docs = read(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return docs.select("doc_id", tables.gunzipped(tables.gzipped("text")).alias("text"))
