@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,10 +32,15 @@ def tfidf(counts: DataFrame, idf: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def pruned_postings(weights: DataFrame, always: int = 100, drop: float = 0.005) -> DataFrame:
     """(term, doc_id, w, rank): the first `always` postings by weight, then on while the last hundred still fall by
-    over `drop` of the greatest weight; the first failure ends the list."""
+    over `drop` of the greatest weight; the first failure ends the list.
+
+    Weights fall by at most the greatest in all, so at most 1 / drop stretches of `always` postings can go on: what lies
+    beyond can't be in a list, and is cut off in each task before a frequent term's postings meet.
+    """
     w = Window.partitionBy("term").orderBy(F.round("w", 9).desc(), "doc_id")
-    ranked = weights.withColumn("rank", F.row_number().over(w) - 1).withColumn("top", F.first("w").over(w))
-    ranked = ranked.withColumn("before", F.lag("w", 1).over(w)).withColumn("far", F.lag("w", always).over(w))
+    longest = always * (2 + math.ceil(1 / drop))
+    ranked = weights.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= longest).withColumn("rank", F.col("rank") - 1)
+    ranked = ranked.withColumn("top", F.first("w").over(w)).withColumn("before", F.lag("w", 1).over(w)).withColumn("far", F.lag("w", always).over(w))
     fails = (F.col("rank") >= always) & ~(F.col("top") * drop < F.col("far") - F.col("before"))
     failed = F.sum(fails.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return ranked.withColumn("failed", failed).filter("failed = 0").select("term", "doc_id", "w", "rank")

@@ -72,8 +72,11 @@ def _weights(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _concepts(spark: SparkSession, d: str) -> DataFrame:
+    """Only the postings of terms that some item has are ranked."""
     weights, idf = _weights(spark, d)
-    return index.concept_vectors(read(spark, d, "benchmark"), "item_id", index.pruned_postings(weights), idf)
+    items = read(spark, d, "benchmark")
+    asked = index.term_counts(items, "item_id").select("term").distinct()
+    return index.concept_vectors(items, "item_id", index.pruned_postings(weights.join(asked, "term", "left_semi")), idf)
 
 
 @query(f"WITH {_INDEX} SELECT doc_id, term, n FROM tf")

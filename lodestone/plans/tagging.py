@@ -178,13 +178,13 @@ def relatedness_correlation(spark, d):
 
 
 @query(
-    RELATED.text("tf", last="").rstrip() + ", k AS (SELECT term, count(*) AS df, ln((SELECT count(*) FROM documents)) - ln(count(*)) AS idf FROM tf GROUP BY term HAVING count(*) > 5 AND ln((SELECT count(*) FROM documents)) - ln(count(*)) > 2.0), "
-    "x AS (SELECT a.term AS a, b.term AS b, ka.df, (kb.idf - 2.0) / (ka.idf - 2.0) * count(*) / ka.df AS weight FROM tf a JOIN tf b ON a.doc_id = b.doc_id AND a.term <> b.term JOIN k ka ON ka.term = a.term JOIN k kb ON kb.term = b.term GROUP BY a.term, b.term, ka.df, ka.idf, kb.idf) "
+    RELATED.text("tf", last="").rstrip() + ", k AS (SELECT term, count(*) AS df, ln((SELECT count(*) FROM documents)) - ln(count(*)) AS idf FROM tf GROUP BY term HAVING count(*) > 5 AND ln((SELECT count(*) FROM documents)) - ln(count(*)) > 3.0), "
+    "x AS (SELECT a.term AS a, b.term AS b, ka.df, (kb.idf - 3.0) / (ka.idf - 3.0) * count(*) / ka.df AS weight FROM tf a JOIN tf b ON a.doc_id = b.doc_id AND a.term <> b.term JOIN k ka ON ka.term = a.term JOIN k kb ON kb.term = b.term GROUP BY a.term, b.term, ka.df, ka.idf, kb.idf) "
     "SELECT a, b, round(weight, 6) AS weight FROM x QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(weight, 9) DESC, b) <= 10 AND weight >= 0.05"
 )
 def cooccurrence_links(spark, d):
     docs = read(spark, d, "documents")
-    return rounded(evaluate.cooccurrence_links(index.term_counts(docs), docs.agg(F.count("*").alias("n_docs")), 2.0), "weight")
+    return rounded(evaluate.cooccurrence_links(index.term_counts(docs), docs.agg(F.count("*").alias("n_docs"))), "weight")
 
 
 _GAIN = (
