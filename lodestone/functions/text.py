@@ -9,10 +9,19 @@ from pyspark.sql import functions as F
 STOP_WORDS = ("the", "of", "and", "to", "in", "is", "that", "for", "it", "as", "was", "with", "be", "by", "on", "not", "he", "are", "this", "at", "from", "or", "have", "an")
 
 
+def words(text: Column) -> Column:
+    """Runs of letters in lower case."""
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
+
+
+def is_term(word: Column, shortest: int = 2, longest: int = 50, stop: tuple[str, ...] = STOP_WORDS) -> Column:
+    """Within the length bounds and no stop word."""
+    return (F.length(word) >= shortest) & (F.length(word) <= longest) & ~word.isin(*stop)
+
+
 def terms(text: Column, shortest: int = 2, longest: int = 50, stop: tuple[str, ...] = STOP_WORDS) -> Column:
     """Analyzer: lower case, runs of letters, length bounds, stop words; null gives an empty array."""
-    found = F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
-    kept = F.filter(found, lambda w: (F.length(w) >= shortest) & (F.length(w) <= longest) & ~w.isin(*stop))
+    kept = F.filter(words(text), lambda w: is_term(w, shortest, longest, stop))
     return F.coalesce(kept, F.array().cast("array<string>"))
 
 

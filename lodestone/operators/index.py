@@ -13,8 +13,9 @@ LIMIT = 50
 
 
 def term_counts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, term, n): occurrences of each analysed term in each row's text."""
-    return docs.select(key, F.explode(tx.terms(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+    """(key, term, n): occurrences of each analysed term in each row's text; words are filtered as rows, in generated code."""
+    words = docs.select(key, F.explode(tx.words(F.col("text"))).alias("term")).filter(tx.is_term(F.col("term")))
+    return words.groupBy(key, "term").agg(F.count("*").alias("n"))
 
 
 def frequencies(counts: DataFrame, total: DataFrame) -> DataFrame:

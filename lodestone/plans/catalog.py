@@ -10,7 +10,7 @@ from lodestone.operators import index, learn, links, models, sequences
 from lodestone.operators import learners as learners_
 from lodestone.plans.base import QUERIES, SQL, query  # noqa: F401
 from lodestone.plans.base import rounded as _round
-from lodestone.sources.tables import read
+from lodestone.sources.tables import read, settled
 
 FLAGSHIP = "esa_concept_vector"
 
@@ -66,7 +66,7 @@ def _total(df: DataFrame) -> DataFrame:
 
 
 def _weights(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    counts = _counts(spark, d)
+    counts = settled(_counts(spark, d))  # read three times
     idf = index.frequencies(counts, _total(_docs(spark, d)))
     return index.tfidf(counts, idf.select("term", "idf")), idf.select("term", "idf")
 
@@ -208,7 +208,7 @@ judged AS (SELECT label, predicted FROM best JOIN lab USING (doc_id))
 
 
 def _bayes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    counts, labels = _counts(spark, d), _docs(spark, d).select("doc_id", F.col("lang").alias("label"))
+    counts, labels = settled(_counts(spark, d)), _docs(spark, d).select("doc_id", F.col("lang").alias("label"))
     model, priors = learn.naive_bayes(counts, labels)
     return counts, labels, model, priors
 
