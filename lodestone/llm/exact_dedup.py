@@ -24,6 +24,7 @@ from lodestone.llm import textops as tx
 
 SLOTS = 4
 KICKS = 400
+BUCKET_ROWS = 1_000_000
 
 
 class CuckooFilter:
@@ -159,8 +160,8 @@ def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def live_digests(keyed: DataFrame, buckets: int | None = None) -> DataFrame:
-    """The index's rows: (digest, keep_id, group_size), one per distinct text."""
-    buckets = buckets or int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """The index's rows: (digest, keep_id, group_size), one per distinct text. Buckets follow the rows, so that each stays in a task's memory."""
+    buckets = buckets or max(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-keyed.count() // BUCKET_ROWS))
     partial = keyed.mapInArrow(_partials, "digest binary, doc_id long, n long")
     return partial.repartition(buckets, "digest").mapInArrow(_live, "digest binary, keep_id long, group_size long")
 

@@ -28,6 +28,8 @@ from lodestone.llm import textops as tx
 from lodestone.llm.graph import components, unite
 
 BITS = 64
+TASK_ROWS = 2_000_000  # dealt rows of a task, about
+TASK_BYTES = 256 << 20  # of texts that a task verifies, one group after the other
 GROUPED = 60_000  # rows whose tries are held at once; a larger group alone
 _LANES = np.uint64(0x0101010101010101)
 
@@ -209,7 +211,7 @@ def links(classes: DataFrame, budget: int = 3, agree: int = 1, crowd: int = 100_
                 yield pa.RecordBatch.from_arrays(found, ["a", "b", "kind"][: len(found)])
             a = b
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-classes.count() * len(chosen) // TASK_ROWS))
     also = [F.floor(F.col("block") / len(chosen)).cast("int").alias("kind")] if kinds else []
     return dealt.select("fp", F.xxhash64(*keys).alias("task"), *also).repartition(n, "task").mapInArrow(run, "a long, b long" + (", kind int" if kinds else ""))
 
@@ -361,12 +363,13 @@ def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     open_ = tx.stored(candidates(rest, shingle, budget, kinds), "members")
     members = rest.join(open_, "doc_id")
     size = members.groupBy("leader").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
-    size = tx.stored(size.select("leader", F.greatest(F.ceil(F.col("n") / crowd), F.ceil(F.col("bytes") / room), F.lit(1)).cast("int").alias("portions")), "sizes")
+    size = tx.stored(size.select("leader", F.greatest(F.ceil(F.col("n") / crowd), F.ceil(F.col("bytes") / room), F.lit(1)).cast("int").alias("portions"), "bytes"), "sizes")
+    bytes_ = size.agg(F.sum(F.col("bytes") * F.greatest(F.col("portions") - 1, F.lit(1)))).first()[0] or 0
     mine = F.pmod(F.xxhash64("doc_id"), F.col("portions")).cast("int")
     meets = F.when(F.col("portions") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("portions") - 1), lambda k: k != mine))
-    dealt = members.join(size, "leader").select("leader", "portions", mine.alias("mine"), "doc_id", "text", F.explode(meets).alias("other"))
+    dealt = members.join(size.drop("bytes"), "leader").select("leader", "portions", mine.alias("mine"), "doc_id", "text", F.explode(meets).alias("other"))
     dealt = dealt.select(F.xxhash64("leader", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"), "leader", (F.col("portions") == 1).alias("whole"), "doc_id", "text")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-bytes_ // TASK_BYTES))
     dealt = dealt.repartition(n, "task").sortWithinPartitions("task", "leader")
     found = tx.stored(dealt.mapInArrow(_verified(shingle, similarity), "a long, b long, whole boolean"), "verified")
     gone = gone.unionByName(found.filter("whole").select(F.col("a").alias("doc_id")))

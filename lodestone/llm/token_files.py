@@ -162,26 +162,31 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_
         part = TaskContext.get().partitionId()
         name, own = f"part-{part:05d}", f".{part:05d}-{uuid.uuid4().hex}"
         store.create_dir(at, recursive=True)
-        sizes, ids = [], []
-        with store.open_output_stream(f"{at}/{own}.bin") as out:
-            for batch in batches:
-                ids.append(batch.column(0).fill_null(NO_ID).to_numpy())
-                texts = batch.column(1)
-                for a, b in tx.chunks(tx.binary_column(batch, "text")[1], 8 << 20):
-                    tokens, n = code.encode(texts.slice(a, b - a))
-                    whole = np.insert(tokens, np.cumsum(n), end_id).astype(kind)
-                    sizes.append(n + 1)
-                    out.write(whole.tobytes())
-        code.rest()
-        n = np.concatenate([*sizes, np.zeros(0, np.int64)])
+        sizes, ids, ends = [], [], ("bin", "idx", "ids")
+        try:
+            with store.open_output_stream(f"{at}/{own}.bin") as out:
+                for batch in batches:
+                    ids.append(batch.column(0).fill_null(NO_ID).to_numpy())
+                    texts = batch.column(1)
+                    for a, b in tx.chunks(tx.binary_column(batch, "text")[1], 8 << 20):
+                        tokens, n = code.encode(texts.slice(a, b - a))
+                        whole = np.insert(tokens, np.cumsum(n), end_id).astype(kind)
+                        sizes.append(n + 1)
+                        out.write(whole.tobytes())
+            code.rest()
+            n = np.concatenate([*sizes, np.zeros(0, np.int64)])
+            for end, data in (("idx", np.concatenate([[0], np.cumsum(n)]).astype("<u8")), ("ids", np.concatenate([*ids, np.zeros(0, np.int64)]).astype("<i8"))):
+                with store.open_output_stream(f"{at}/{own}.{end}") as out:
+                    out.write(data.tobytes())
+            if len(n):
+                for end in ends:
+                    store.move(f"{at}/{own}.{end}", f"{at}/{name}.{end}")
+        finally:  # what an attempt that failed, or had nothing to write, has begun
+            for end in ends:
+                if store.get_file_info(f"{at}/{own}.{end}").type != fs.FileType.NotFound:
+                    store.delete_file(f"{at}/{own}.{end}")
         if not len(n):
-            store.delete_file(f"{at}/{own}.bin")
             return
-        for end, data in (("idx", np.concatenate([[0], np.cumsum(n)]).astype("<u8")), ("ids", np.concatenate(ids).astype("<i8"))):
-            with store.open_output_stream(f"{at}/{own}.{end}") as out:
-                out.write(data.tobytes())
-        for end in ("bin", "idx", "ids"):
-            store.move(f"{at}/{own}.{end}", f"{at}/{name}.{end}")
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([len(n)]), pa.array([int(n.sum())]), pa.array([kind.str])], ["part", "name", "n_docs", "n_tokens", "kind"])
 
     spark = docs.sparkSession

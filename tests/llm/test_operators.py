@@ -244,6 +244,21 @@ def test_token_files(docs, texts, none):
     assert token_files.token_files(none).count() == 0
 
 
+def test_token_files_repeats_and_nulls(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(token_files.default_tokenizer())
+    rows = [(3, "some words"), (3, "other words here"), (None, "no id"), (None, None), (-4, "first")]
+    got = token_files.token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = Counter((i, zlib.crc32(np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4").tobytes())) for i, x in rows)
+    assert Counter((r.doc_id, r.ids_crc32) for r in got) == want
+    got.sort(key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [-4, 3, 3, None, None] and all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:], strict=False))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    token_files.write_files(docs, f"file://{tmp_path}/tokens", token_files.default_tokenizer()).collect()
+    assert not [f.name for f in (tmp_path / "tokens").iterdir() if f.name.startswith(".")]
+
+
 def test_encoder_on_odd_words():
     e = token_files.Encoder(token_files.default_tokenizer(), limit=10)
     odd = ["it's I'LL don't", "<|endoftext|> a<|startoftext|>b", "ÀÉÎ ß ×÷ İstanbul", "é ́x", "a1b2 99 !!?? x--y", "日本語 テスト", "a b c", "ﬁ Ⅳ \x1c\x1d z"]
@@ -281,6 +296,12 @@ def test_simhash(docs, texts, none):
     assert simhash.near_dedup(none).count() == 0
 
 
+def test_simhash_repeats_and_nulls(spark):
+    rows = [(5, "one two three four"), (5, "one two three four"), (None, "one two three four"), (None, None), (2, ""), (9, "other words stand here now")]
+    got = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id) for r in got) == [(0, 2), (0, 5), (2, 2), (5, 5), (5, 5), (9, 9)]
+
+
 @pytest.mark.parametrize(("budget", "agree", "crowd"), [(3, 1, 100_000), (3, 1, 5), (6, 2, 100_000)])
 def test_trie_join(spark, budget, agree, crowd):
     r = random.Random(budget + crowd)
@@ -564,6 +585,35 @@ def test_decontamination_finds_what_the_rule_accepts(spark):
     assert len({(x.doc_id, x.item_id) for x in decontaminate.leaks(docs, bench, only_candidates=True).collect()} & want) < len(want)
 
 
+@pytest.mark.parametrize("block", [200, 4096])
+def test_decontamination_over_many_items(spark, monkeypatch, block):
+    """Recall against a common subsequence over all pairs: several blocks of items, or more passages than the rank."""
+    monkeypatch.setattr(decontaminate, "ITEMS", block)
+    r = random.Random(13)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    make = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    items = [make(r.randint(12, 40)) for _ in range(700)] + [make(700)]
+    texts = []
+    for k in range(0, 700, 6):  # a tenth of the words changed, or one more for every eight
+        some = [w for w in items[k] if r.random() < 0.9] if k % 12 else [x for w in items[k] for x in ([w, *make(1)] if r.random() < 0.12 else [w])]
+        texts.append([*make(r.randint(0, 60)), *some, *make(r.randint(0, 60))])
+    texts += [[*make(40), *items[700], *make(40)]] + [make(150) for _ in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    want = set()
+    for d, text in enumerate(texts):
+        held = set(text)
+        for i, item in enumerate(items):
+            if sum(w in held for w in item) >= 0.75 * len(item):
+                n = len(item)
+                if any(decontaminate.lcs(item, text[max(0, at - n) : at + decontaminate.WINDOW + n]) >= 0.75 * n for at in range(0, len(text), decontaminate.STRIDE)):
+                    want.add((d, i))
+    found = lambda **o: {(x.doc_id, x.item_id) for x in decontaminate.leaks(docs, bench, **o).collect()}
+    assert len(want) > 100 and found() == want
+    assert len(found(only_candidates=True) & want) >= 0.9 * len(want)
+    assert decontaminate.leaks(docs.limit(0), bench).count() == decontaminate.leaks(docs, bench.limit(0)).count() == 0
+
+
 def test_lcs():
     assert decontaminate.lcs(list("abcbdab"), list("bdcaba")) == 4 and decontaminate.lcs(["a"], []) == 0
 
