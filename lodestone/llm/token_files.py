@@ -1,6 +1,6 @@
 """Token-ID / binary output: flat unsigned integer files plus 64-bit document offsets.
 
-Documents are range-partitioned and sorted by doc_id; each task encodes its documents and writes one set of files:
+Documents are range-partitioned (about `FILE_BYTES` of text each) and sorted by doc_id; each task encodes its documents and writes one set of files:
 
     part-NNNNN.bin   token ids, little-endian, the narrowest of uint16 / uint32 that holds the vocabulary
     part-NNNNN.idx   uint64 offsets into the .bin, one per document and one for the end
@@ -36,6 +36,7 @@ from lodestone.llm import textops as tx
 END_ID = 1
 NO_ID = -(1 << 63)
 CACHE_WORDS = 800_000
+FILE_BYTES = 32 << 20  # of text for a set of files: the words of a task are learnt once
 _STARTED: dict[str, Encoder] = {}  # one per Python worker, kept between tasks
 
 #: Letters of one or two bytes whose lower case is one letter, then punctuation: one or two pieces for the tokenizer.
@@ -191,7 +192,8 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_
 
     spark = docs.sparkSession
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = ordered.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(-(-size // FILE_BYTES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), 1)
     ordered = ordered.repartitionByRange(n, F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last())
     written = ordered.mapInArrow(run, "part int, name string, n_docs long, n_tokens long, kind string").toArrow().sort_by("part")
     size = written["n_tokens"].to_numpy()
