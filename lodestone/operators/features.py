@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -161,3 +163,61 @@ def sparse_moments(values: DataFrame, total: DataFrame, feature: str, value: str
     s = values.groupBy(feature).agg(F.count("*").alias("n"), F.sum(F.col(value).cast("double")).alias("_s"), F.sum(F.col(value).cast("double") * F.col(value)).alias("_q")).crossJoin(F.broadcast(total))
     mean = F.col("_s") / F.col("n_docs")
     return s.select(feature, "n", mean.alias("mean"), F.when(F.col("n_docs") > 1, (F.col("_q") - F.col("n_docs") * mean * mean) / (F.col("n_docs") - 1)).alias("variance"))
+
+
+def tagged_tokens(text: Column, background: str = "O", allowed: list[str] | None = None) -> Column:
+    """Array of (token, tag): runs of letters with the tag that was opened last, `background` after a closing tag and before
+    any. With `allowed`, other tags are passed over. Tags aren't nested; null gives an empty array."""
+    pieces = F.coalesce(F.regexp_extract_all(text, F.lit("</?[A-Za-z][^<>]*>|[A-Za-z]+"), F.lit(0)), F.array().cast("array<string>"))
+    name = lambda p: F.lower(F.regexp_extract(p, "^</?([A-Za-z][A-Za-z0-9]*)", 1))
+    if allowed is not None:
+        pieces = F.filter(pieces, lambda p: ~p.startswith("<") | name(p).isin(*allowed))
+    tag = lambda p: F.when(p.startswith("</"), F.lit(background)).otherwise(name(p))
+    # a tag closes the run of words before it: text between tags splits at tags, each part begins with its tag
+    joined = F.split(F.array_join(F.transform(pieces, lambda p: F.when(p.startswith("<"), F.concat(F.lit("\n"), tag(p))).otherwise(p)), " "), "\n")
+    runs = F.transform(joined, lambda r, i: F.struct(F.when(i == 0, F.lit(background)).otherwise(F.split_part(r, F.lit(" "), F.lit(1))).alias("tag"), F.when(i == 0, F.split(r, " ")).otherwise(F.slice(F.split(r, " "), F.lit(2), F.size(F.split(r, " ")))).alias("words")))
+    return F.filter(F.flatten(F.transform(runs, lambda r: F.transform(r["words"], lambda w: F.struct(w.alias("token"), r["tag"].alias("tag"))))), lambda x: x["token"] != "")
+
+
+def replaced(text: Column, rules: list[tuple[str, str]]) -> Column:
+    """Text in lower case with every rule's phrase of whole words replaced in turn, longer phrases first; the blanks of what
+    stands instead become _, and _ goes before a leading digit."""
+    out = F.lower(text)
+    for phrase, instead in sorted(rules, key=lambda r: (-len(r[0].split()), r[0])):
+        name = "_".join(instead.split())
+        name = "_" + name if name[:1].isdigit() else name
+        pattern = r"\s+".join(re.escape(w) for w in phrase.lower().split())
+        out = F.regexp_replace(out, rf"(?<![^\s]){pattern}(?![^\s])", name.replace("\\", r"\\").replace("$", r"\$"))
+    return out
+
+
+def summary(rows: DataFrame, value: str, *by: str) -> DataFrame:
+    """(by..., n, mean, variance, error, least, greatest): one pass; `error` is the standard error of the mean. Nulls don't count."""
+    x = F.col(value)
+    return rows.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.var_samp(x).alias("variance"), (F.stddev_samp(x) / F.sqrt(F.count(x))).alias("error"), F.min(x).alias("least"), F.max(x).alias("greatest"))
+
+
+def dirichlet(cells: DataFrame, group: str, kind: str, n: str = "n", rounds: int = 2000, tolerance: float = 1e-6) -> dict:
+    """The Dirichlet parameters by `kind` under which the groups' counts are likeliest, by fixed-point steps.
+
+    The steps need only how many groups have a kind so many times, and how many have such a size: two histograms, which are
+    gathered. They have a row for each distinct count of a kind, not for each group; kinds are few.
+    """
+    counts = cells.filter(F.col(n) > 0).groupBy(group, kind).agg(F.sum(n).alias("_n"))
+    seen = [(r[kind], r["_n"], r["c"]) for r in counts.groupBy(kind, "_n").agg(F.count("*").alias("c")).collect()]
+    sizes = [(r["s"], r["c"]) for r in counts.groupBy(group).agg(F.sum("_n").alias("s")).groupBy("s").agg(F.count("*").alias("c")).collect()]
+    names = sorted({k for k, _, _ in seen}, key=str)
+    a = dict.fromkeys(names, 1.0)
+    rise = lambda x, m: float(np.sum(1.0 / (x + np.arange(int(m)))))
+    for _ in range(rounds):
+        total = sum(a.values())
+        low = sum(c * rise(total, s) for s, c in sizes)
+        top = dict.fromkeys(names, 0.0)
+        for k, m, c in seen:
+            top[k] += c * rise(a[k], m)
+        new = {k: a[k] * top[k] / low for k in names}
+        moved = max((abs(new[k] - a[k]) for k in names), default=0.0)
+        a = new
+        if moved < tolerance:
+            break
+    return a

@@ -16,9 +16,11 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def query(sql: str | None = None):
-    """Register a query under its function's name."""
+    """Register a query under its function's name, which must be new."""
 
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries are named {f.__name__}")
         QUERIES[f.__name__] = f
         if sql:
             SQL[f.__name__] = sql

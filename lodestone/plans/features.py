@@ -157,3 +157,39 @@ def least_squares_weights(spark, d):
 @query(f"WITH {_TERMS}, s AS (SELECT term, count(*) AS n, sum(n) AS s, sum(n * n) AS q, (SELECT count(*) FROM documents) AS d FROM tf GROUP BY term) SELECT term, n, round(s / d, 6) AS mean, round((q - d * (s / d) * (s / d)) / (d - 1), 6) AS variance FROM s")
 def term_moments(spark, d):
     return rounded(ft.sparse_moments(_counts(spark, d), _total(spark, d), "term", "n"), "mean", "variance")
+
+
+@query(
+    """WITH p AS (SELECT page_id, unnest(regexp_extract_all(html, '</?[A-Za-z][^<>]*>|[A-Za-z]+')) AS piece, generate_subscripts(regexp_extract_all(html, '</?[A-Za-z][^<>]*>|[A-Za-z]+'), 1) AS i FROM pages),
+k AS (SELECT *, CASE WHEN piece LIKE '</%' THEN 'O' WHEN piece LIKE '<%' THEN lower(regexp_extract(piece, '^<([A-Za-z][A-Za-z0-9]*)', 1)) END AS own FROM p
+WHERE NOT piece LIKE '<%' OR lower(regexp_extract(piece, '^</?([A-Za-z][A-Za-z0-9]*)', 1)) IN ('p', 'a', 'h1', 'h2', 'li')),
+t AS (SELECT page_id, piece, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY i ROWS UNBOUNDED PRECEDING), 'O') AS tag FROM k)
+SELECT page_id, tag, count(*) AS n, min(piece) AS least FROM t WHERE NOT piece LIKE '<%' GROUP BY page_id, tag"""
+)
+def tagged_tokens(spark, d):
+    found = ft.tagged_tokens(F.col("html"), allowed=["p", "a", "h1", "h2", "li"])
+    rows = read(spark, d, "pages").select("page_id", F.explode(found).alias("x")).select("page_id", "x.*")
+    return rows.groupBy("page_id", "tag").agg(F.count("*").alias("n"), F.min("token").alias("least"))
+
+
+RULES = [("of the", "of the"), ("in the", "inside 1"), ("the", "3 t")]
+
+
+@query("""WITH w AS (SELECT conv_id, turn, ' ' || regexp_replace(lower(text), '(\\s)', '\\1\\1', 'g') || ' ' AS t FROM conversations),
+r AS (SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(t, '(\\s)of\\s+the(\\s)', '\\1of_the\\2', 'g'), '(\\s)in\\s+the(\\s)', '\\1inside_1\\2', 'g'), '(\\s)the(\\s)', '\\1_3_t\\2', 'g') AS t FROM w)
+SELECT conv_id, turn, trim(regexp_replace(t, '\\s+', ' ', 'g')) AS text FROM r""")
+def replaced_phrases(spark, d):
+    out = ft.replaced(F.col("text"), RULES)
+    return read(spark, d, "conversations").select("conv_id", "turn", F.trim(F.regexp_replace(out, r"\s+", " ")).alias("text"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(l_extendedprice) AS n, round(avg(l_extendedprice), 4) AS mean, round(var_samp(l_extendedprice), 1) AS variance, round(stddev_samp(l_extendedprice) / sqrt(count(l_extendedprice)), 4) AS error, min(l_extendedprice) AS least, max(l_extendedprice) AS greatest FROM lineitem GROUP BY ALL")
+def price_summary(spark, d):
+    return rounded(rounded(ft.summary(read(spark, d, "lineitem"), "l_extendedprice", "l_returnflag", "l_linestatus"), "mean", "error", digits=4), "variance", digits=1)
+
+
+@query()
+def role_dirichlet(spark, d):
+    """Parameters under which the roles' counts in conversations are likeliest; against a search in the tests."""
+    cells = read(spark, d, "conversations").groupBy("conv_id", "role").agg(F.count("*").alias("n"))
+    return spark.createDataFrame([(k, round(v, 4)) for k, v in ft.dirichlet(cells, "conv_id", "role").items()], "role string, alpha double")

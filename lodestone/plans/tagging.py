@@ -98,7 +98,7 @@ _LANG = "tl AS (SELECT lang, term, n FROM tf JOIN documents USING (doc_id)), d_
 
 
 @query(RELATED.text("tf", last="").rstrip() + f", {_LANG} SELECT round(sum(e.p * log2(e.p / a.p)), 6) AS kl, round(-sum(e.p * ln(e.p)), 6) AS entropy FROM (SELECT * FROM d_ WHERE lang = 'en') e JOIN (SELECT term, sum(n) / (SELECT sum(n) FROM tl) AS p FROM tl GROUP BY term) a USING (term)")
-def language_divergence(spark, d):
+def english_divergence(spark, d):
     counts = index.term_counts(read(spark, d, "documents")).join(read(spark, d, "documents").select("doc_id", "lang"), "doc_id")
     total = lambda df: df.groupBy("term").agg(F.sum("n").alias("n")).crossJoin(df.agg(F.sum("n").alias("all"))).select("term", (F.col("n") / F.col("all")).alias("p"))  # noqa: E731  one row
     return rounded(evaluate.divergences(total(counts.filter("lang = 'en'")), total(counts.filter("lang is not null"))), "kl", "entropy")

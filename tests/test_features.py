@@ -84,3 +84,39 @@ def test_distances_and_moments(spark):
     total = spark.createDataFrame([(4,)], "n_docs long")
     m = ft.sparse_moments(spark.createDataFrame([("t", 2), ("t", 4)], "term string, n long"), total, "term", "n").first()
     assert m["mean"] == 1.5 and abs(m["variance"] - np.var([2, 4, 0, 0], ddof=1)) < 1e-12
+
+
+def test_tagged_tokens(spark):
+    found = lambda text, **k: [(x.token, x.tag) for x in _one(spark, text, ft.tagged_tokens(F.col("text"), **k))]
+    assert found("a <PER id=1>Ann Lee</PER> met <LOC>Rome") == [("a", "O"), ("Ann", "per"), ("Lee", "per"), ("met", "O"), ("Rome", "loc")]
+    assert found("x <b><i>y</i> z</b>", allowed=["i"]) == [("x", "O"), ("y", "i"), ("z", "O")]
+    assert found("x <b><i>y</i> z</b>", allowed=["b"]) == [("x", "O"), ("y", "b"), ("z", "b")]
+    assert found(None) == [] and found("") == [] and found("<p></p>") == []
+
+
+def test_replaced_phrases(spark):
+    rules = [("new  york", "ny city"), ("york", "yo$rk"), ("a.b", "2 x")]
+    assert _one(spark, "New York york a.b axb newyork york, new york new york", ft.replaced(F.col("text"), rules)) == "ny_city yo$rk _2_x axb newyork york, ny_city ny_city"
+    assert _one(spark, None, ft.replaced(F.col("text"), rules)) is None
+
+
+def test_dirichlet_is_the_likeliest(spark):
+    rng = np.random.default_rng(0)
+    true = np.array([0.8, 2.0, 4.0])
+    rows = [(i, k, int(c)) for i in range(600) for k, c in zip("abc", rng.multinomial(40, rng.dirichlet(true)), strict=True)]
+    found = ft.dirichlet(spark.createDataFrame(rows, "g long, k string, n long"), "g", "k", rounds=2000, tolerance=1e-9)
+    got = np.array([found[k] for k in "abc"])
+    assert np.allclose(got, true, rtol=0.15)
+    table = np.array([n for *_, n in rows]).reshape(-1, 3)
+
+    def score(a):
+        lg = np.vectorize(math.lgamma)
+        return (math.lgamma(a.sum()) - lg(a.sum() + table.sum(1))).sum() + (lg(a + table) - lg(a)).sum()
+
+    assert all(score(got) >= score(got * f) for f in ([1.02, 1, 1], [0.98, 1, 1], [1, 1.02, 1], [1, 0.98, 1], [1, 1, 1.02], [1, 1, 0.98]))
+    assert ft.dirichlet(spark.createDataFrame([], "g long, k string, n long"), "g", "k") == {}
+
+
+def test_summary_leaves_nulls_out(spark):
+    r = ft.summary(spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", None), ("b", None)], "g string, x double"), "x", "g")
+    assert {x.g: (x.n, x["mean"], x.variance, x.error, x.least) for x in r.collect()} == {"a": (2, 2.0, 2.0, 1.0, 1.0), "b": (0, None, None, None, None)}
