@@ -189,7 +189,7 @@ def price_summary(spark, d):
 
 
 @query()
-def role_dirichlet(spark, d):
-    """Parameters under which the roles' counts in conversations are likeliest; against a search in the tests."""
-    cells = read(spark, d, "conversations").groupBy("conv_id", "role").agg(F.count("*").alias("n"))
-    return spark.createDataFrame([(k, round(v, 4)) for k, v in ft.dirichlet(cells, "conv_id", "role").items()], "role string, alpha double")
+def word_dirichlet(spark, d):
+    """Parameters under which the documents' counts of four common words are likeliest; against its neighbours in the tests."""
+    found = ft.dirichlet(_counts(spark, d).filter(F.col("term").isin("the", "of", "and", "in")), "doc_id", "term")
+    return spark.createDataFrame([(k, round(v, 4)) for k, v in found.items()], "term string, alpha double")

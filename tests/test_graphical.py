@@ -95,3 +95,16 @@ def test_lone_nodes_and_zero_weights(spark):
     assert {(r.v, r.x): round(r.p, 9) for r in beliefs.marginals(nodes, none).collect()} == {("a", 0): 0.25, ("a", 1): 0.75, ("b", 0): 0.0, ("b", 1): 1.0}
     equal = spark.createDataFrame([("a", "b", x, y, float(x == y)) for x in (0, 1) for y in (0, 1)], "u string, v string, x int, y int, p double")
     assert {(r.v, r.x): round(r.p, 9) for r in beliefs.marginals(nodes, equal).collect()} == {("a", 0): 0.0, ("a", 1): 1.0, ("b", 0): 0.0, ("b", 1): 1.0}
+
+
+def test_labelled_documents_keep_to_their_topics(spark):
+    """Documents of one topic fix what it is; those of two then split their words between them."""
+    rng = np.random.default_rng(1)
+    both = [*GROUPS[0], *GROUPS[1]]
+    rows = [(i, " ".join(rng.choice(both if i % 3 == 2 else GROUPS[i % 3], 20)), [0, 1] if i % 3 == 2 else [i % 3]) for i in range(60)] + [(60, "kaxp", None), (61, "kaxp", []), (62, None, [1])]
+    state = gibbs.gibbs_topics(spark.createDataFrame(rows, "doc_id long, text string, own array<int>"), 3, rounds=10, labels="own")
+    for r in state.collect():
+        assert set(r.z) <= set(r.allowed) and len(r.z) == len(r.terms)
+        assert list(r.allowed) == ([0, 1, 2] if r.key in (60, 61) else [0, 1] if r.key % 3 == 2 and r.key < 60 else [1] if r.key == 62 else [r.key % 3])
+    owner = {r.term: int(np.argmax(r.c)) for r in gibbs.term_topics(state, 3).collect()}
+    assert all(owner[t] == 0 for t in GROUPS[0]) and all(owner[t] == 1 for t in GROUPS[1])
