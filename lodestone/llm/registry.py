@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import decontaminate, exact_dedup, html_text, infill, katz, mixing, quality, simhash, substring, token_files, toxicity
+from lodestone.llm import alignment, decontaminate, exact_dedup, html_text, infill, katz, mixing, quality, simhash, substring, token_files, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring.query,
@@ -16,5 +16,6 @@ QUERIES = {
     "op9_simhash_dedup": simhash.query,
     "op10_exact_dedup": exact_dedup.query,
     "op11_infill": infill.query,
+    "op12_token_alignment": alignment.query,
 }
 SQL = {"op3_mixing": mixing.SQL, "op10_exact_dedup": exact_dedup.SQL}
