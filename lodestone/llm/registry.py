@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import alignment, decontaminate, exact_dedup, html_text, infill, katz, mixing, quality, simhash, substring, token_files, toxicity
+from lodestone.llm import alignment, chat, decontaminate, exact_dedup, html_text, infill, katz, mixing, quality, simhash, substring, token_files, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring.query,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_exact_dedup": exact_dedup.query,
     "op11_infill": infill.query,
     "op12_token_alignment": alignment.query,
+    "op13_chat_format": chat.query,
 }
 SQL = {"op3_mixing": mixing.SQL, "op10_exact_dedup": exact_dedup.SQL}
