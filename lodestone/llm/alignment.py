@@ -36,7 +36,7 @@ from lodestone.llm import textops as tx
 #: Bytes of text whose pairs are counted together.
 BLOCK = 64 << 20
 #: Bytes of distinct segments a worker keeps.
-KEPT = 24 << 20
+KEPT = 6 << 20
 _SPAN = re.compile(rb"[^x]*x")
 _LABELS = np.frombuffer(b"nabx", np.uint8)
 #: White space of Unicode beyond ASCII, in UTF-8.
@@ -277,7 +277,7 @@ def aligned(docs: DataFrame, tokenizers: tuple[str, str] | None = None, block: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, part, read = aligner(*paths), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for x, y in tx.chunks(tx.binary_column(batch, "text")[1]):
+            for x, y in tx.chunks(tx.binary_column(batch, "text")[1], 1 << 20):
                 rows = batch.slice(x, y - x)
                 data, off = tx.binary_column(rows, "text")
                 packed = []
@@ -287,6 +287,8 @@ def aligned(docs: DataFrame, tokenizers: tuple[str, str] | None = None, block: i
                 number = part * (1 << 20) + read // block
                 read += len(data)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(y - x, number, np.int64)), rows.column("doc_id"), *packed], ["block", "doc_id", *COLUMNS])
+        code.clear()  # the worker goes on to other tasks
+        pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(run, "block long, doc_id long, a binary, b binary, group_a binary, group_b binary")
