@@ -22,7 +22,6 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -159,15 +158,13 @@ def _joined(form: str, segments: tuple, marks: tuple[bytes, ...]) -> bytes:
     return b"".join(marks[m] + segments[s] for s, m in zip(*ORDER[form], strict=True))
 
 
-def restored(form: str, output: bytes, marks: tuple[bytes, ...] = MARKS) -> bytes:
+def restored(form: Column, output: Column, marks: tuple[bytes, ...] = MARKS) -> Column:
     """The text of an output: what follows the marks, in the order of the text."""
-    if form == "plain":
-        return output
-    segments, order = [b""] * 3, ORDER[form]
-    at = [output.index(marks[m]) for m in order[1]] + [len(output)]
-    for i, s in enumerate(order[0]):
-        segments[s] = output[at[i] + len(marks[order[1][i]]) : at[i + 1]]
-    return b"".join(segments)
+    parts = F.split(output.cast("string"), "|".join(f"\\Q{m.decode()}\\E" for m in marks))
+    back = output.cast("string")
+    for name, (order, _) in ORDER.items():
+        back = F.when(form == name, F.concat(*[F.get(parts, F.lit(order.index(s) + 1)) for s in range(3)])).otherwise(back)
+    return back
 
 
 def _forms(n: Column, size: Column, found: Column, rate: int, spm: int) -> list[Column]:
@@ -237,6 +234,9 @@ def _pieces(rows: DataFrame, chunk: int) -> DataFrame:
     return rows.mapInArrow(run, "doc string, no int, start long, piece binary, doc_id long, h1 long, h2 long, h3 long, h4 long")
 
 
+ENTRY = ["doc", "no", "start", "size", "chars", "state", "leaves", "before", "hits"]
+
+
 def resolved(pieces: DataFrame, auto: Automaton) -> DataFrame:
     """(doc, no, start, size, chars, state, leaves, before, hits) of (doc, no, start, piece): each chunk's entry state, exit state,
     units before it and its own. Chunks are scanned wherever they lie; only their functions come together, by document."""
@@ -249,21 +249,36 @@ def resolved(pieces: DataFrame, auto: Automaton) -> DataFrame:
             flat = lambda x, kind: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel(), kind), s).cast(pa.list_(kind))
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("no"), batch.column("start"), pa.array(np.diff(off)), pa.array(np.diff(_chars(data, off))), flat(found.move.astype(np.int32), pa.int32()), flat(found.hit, pa.int64())], ["doc", "no", "start", "size", "chars", "move", "hit"])
 
-    def along(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("no", kind="stable")
-        move, hit = np.stack(group["move"].to_list()).astype(np.int64), np.stack(group["hit"].to_list())
-        run, total, step = move.copy(), hit.copy(), 1
+    def entered(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        run, total = (np.asarray(table.column(c).combine_chunks().flatten()).reshape(-1, s).astype(np.int64) for c in ("move", "hit"))
+        step = 1
         while step < len(run):  # composed with what lies 1, 2, 4, ... chunks before
             left, lefts = run[:-step].copy(), total[:-step].copy()
             total[step:] = lefts + np.take_along_axis(total[step:], left, 1)
             run[step:] = np.take_along_axis(run[step:], left, 1)
             step *= 2
-        state = np.concatenate([[0], run[:-1, 0]])
-        before = np.concatenate([[0], total[:-1, 0]])
-        return group.assign(state=state, leaves=run[:, 0], before=before, hits=total[:, 0] - before)[["doc", "no", "start", "size", "chars", "state", "leaves", "before", "hits"]]
+        state, before = np.concatenate([[0], run[:-1, 0]]), np.concatenate([[0], total[:-1, 0]])
+        found = [pa.array(x) for x in (state, run[:, 0], before, total[:, 0] - before)]
+        return pa.RecordBatch.from_arrays([*[table.column(c).combine_chunks() for c in ENTRY[:5]], *found], ENTRY)
+
+    def along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held = None, []
+        for batch in batches:
+            docs = batch.column("doc").to_pylist()
+            edges = [i for i in range(1, len(docs)) if docs[i] != docs[i - 1]]
+            for a, b in zip([0, *edges], [*edges, len(docs)], strict=True):
+                if held and docs[a] != own:
+                    yield entered(held)
+                    held = []
+                own = docs[a] if b > a else own
+                held += [batch.slice(a, b - a)] if b > a else []
+        if held:
+            yield entered(held)
 
     functions = pieces.select("doc", "no", "start", "piece").mapInArrow(scan, "doc string, no int, start long, size long, chars long, move array<int>, hit array<bigint>")
-    return functions.groupBy("doc").applyInPandas(along, "doc string, no int, start long, size long, chars long, state long, leaves long, before long, hits long")
+    n = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not merged by their bytes
+    return functions.repartition(n, "doc").sortWithinPartitions("doc", "no").mapInArrow(along, "doc string, no int, " + ", ".join(f"{c} long" for c in ENTRY[2:]))
 
 
 def located(pieces: DataFrame, entries: DataFrame, targets: DataFrame, auto: Automaton) -> DataFrame:
@@ -390,19 +405,9 @@ def infilled(docs: DataFrame, seed: int = 7, rate: int = 100, spm: int = 50, mar
 def digests(whole: DataFrame, shape: DataFrame, output: DataFrame, marks: tuple[bytes, ...] = MARKS) -> DataFrame:
     """Per document, read from the outputs: doc_id, n, form, prefix_chars, middle_chars, output_sha256, restored_sha256."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out, back = [], []
-            for form, text in zip(batch.column("form").to_pylist(), batch.column("output"), strict=True):
-                text = text.as_py()
-                out.append(hashlib.sha256(text).hexdigest())
-                back.append(hashlib.sha256(restored(form, text, marks)).hexdigest())
-            kept = batch.drop_columns(["output"])
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(out, pa.string()), pa.array(back, pa.string())], [*kept.schema.names, "output_sha256", "restored_sha256"])
-
-    schema = WHOLE.replace("output binary", "output_sha256 string, restored_sha256 string")
+    sums = [F.sha2(x.cast("binary"), 256).alias(n) for x, n in ((F.col("output"), "output_sha256"), (restored(F.col("form"), F.col("output"), marks), "restored_sha256"))]
     long_ = shape.join(digest(output, "output_sha256"), "doc").join(digest(restored_pieces(shape, output, marks), "restored_sha256"), "doc").drop("doc")
-    return whole.mapInArrow(run, schema).unionByName(long_)
+    return whole.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *sums).unionByName(long_)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
