@@ -519,4 +519,4 @@ def k_means_clusters(spark, d):
     return models.k_means(read(spark, d, "embeddings"), "vec_id", "embedding")
 
 
-from lodestone.plans import categories, features, graphical, joins, learners, mining, relatedness, tagging, wikitext  # noqa: E402,F401
+from lodestone.plans import categories, embeddings, features, graphical, joins, learners, loglinear, mining, relatedness, tagging, wikitext  # noqa: E402,F401
