@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
-from lodestone.operators import evaluate, index, learn, tagging
+from lodestone.operators import evaluate, index, lattices, learn, tagging
 from lodestone.plans.base import Views, query, rounded
 from lodestone.plans.mining import VIEWS as MINING
 from lodestone.plans.relatedness import VIEWS as RELATED
@@ -27,6 +27,8 @@ VIEWS = Views(
     "SELECT seq, i, s FROM (SELECT r.seq, r.i - 1 AS i, arg_max(f.s, (round(f.v + m.p, 9), f.s)) AS s FROM trace_ r JOIN fwd f ON f.seq = r.seq AND f.i = r.i - 1 JOIN move_ m ON m.s = f.s AND m.s2 = r.s GROUP BY r.seq, r.i)",
     alpha_="SELECT seq, i, state AS s, exp(start_.p + emit_.p) AS v FROM place_ JOIN emit_ USING (symbol) JOIN start_ ON state = emit_.s WHERE i = 1 UNION ALL "
     "SELECT seq, i, s, v FROM (SELECT f.seq, f.i + 1 AS i, e.s, sum(f.v * exp(m.p)) * exp(any_value(e.p)) AS v FROM alpha_ f JOIN place_ o ON o.seq = f.seq AND o.i = f.i + 1 JOIN move_ m ON m.s = f.s JOIN emit_ e ON e.s = m.s2 AND e.symbol = o.symbol GROUP BY f.seq, f.i, e.s)",
+    path_="SELECT seq, i, s, [s] AS path, v FROM fwd WHERE i = 1 UNION ALL SELECT f.seq, f.i + 1, e.s, list_append(f.path, e.s), f.v + m.p + e.p FROM path_ f JOIN place_ o ON o.seq = f.seq AND o.i = f.i + 1 JOIN move_ m ON m.s = f.s JOIN emit_ e ON e.s = m.s2 AND e.symbol = o.symbol",
+    whole_="SELECT seq, path, v, row_number() OVER (PARTITION BY seq ORDER BY round(v, 9) DESC, path) AS rank FROM path_ JOIN (SELECT DISTINCT seq, n FROM place_) USING (seq) WHERE i = n",
     beta_="SELECT seq, n AS i, state AS s, 1.0::DOUBLE AS v FROM (SELECT DISTINCT seq, n FROM place_), state_ UNION ALL "
     "SELECT seq, i, s, v FROM (SELECT f.seq, f.i - 1 AS i, m.s, sum(f.v * exp(m.p) * exp(e.p)) AS v FROM beta_ f JOIN place_ o ON o.seq = f.seq AND o.i = f.i JOIN emit_ e ON e.s = f.s AND e.symbol = o.symbol JOIN move_ m ON m.s2 = f.s WHERE f.i > 1 GROUP BY f.seq, f.i, m.s)",
 )
@@ -54,6 +56,40 @@ def state_posteriors(spark, d):
     return rounded(tagging.state_posteriors(rows.select("seq", "t", "symbol"), tagging.fit_markov(rows)), "p")
 
 
+@query(VIEWS.text("whole_", last="SELECT seq, rank, array_to_string(path, ' ') AS path, round(v, 6) AS score FROM whole_ WHERE rank <= 3"))
+def three_best_paths(spark, d):
+    """The three likeliest rows of roles of each conversation; the SQL lists all paths."""
+    rows = _rows(spark, d)
+    found = lattices.best_markov_paths(rows.select("seq", "t", "symbol"), tagging.fit_markov(rows), 3)
+    paths = found.groupBy("seq", F.col("rank").cast("long").alias("rank")).agg(F.array_sort(F.collect_list(F.struct("t", "state"))).alias("path"), F.first("score").alias("score"))
+    return rounded(paths.select("seq", "rank", F.concat_ws(" ", F.transform("path", lambda r: r.state)).alias("path"), "score"), "score")
+
+
+@query(
+    VIEWS.text(
+        "whole_", "place_",
+        last=""", best AS (SELECT p.seq, p.i, p.t, p.n, path[p.i] AS s FROM whole_ w JOIN place_ p USING (seq) WHERE rank = 1),
+cut AS (SELECT *, sum(CASE WHEN s IS DISTINCT FROM b THEN 1 ELSE 0 END) OVER (PARTITION BY seq ORDER BY i) AS g FROM (SELECT *, lag(s) OVER (PARTITION BY seq ORDER BY i) AS b FROM best)),
+span AS (SELECT seq, g, any_value(s) AS s, min(i) AS a, max(i) AS z, min(t) AS ta, max(t) AS tz, any_value(n) AS n FROM cut GROUP BY seq, g),
+total AS (SELECT seq, sum(exp(v)) AS total FROM whole_ GROUP BY seq)
+SELECT x.seq, ta AS begin, tz AS "end", x.s AS state, round(sum(exp(v)) / any_value(total), 6) AS p FROM span x JOIN whole_ w USING (seq) JOIN total USING (seq)
+WHERE len(list_filter(path[a:z], lambda q: q <> x.s)) = 0 AND (a = 1 OR path[a - 1] <> x.s) AND (z = x.n OR path[z + 1] <> x.s) GROUP BY x.seq, g, ta, tz, x.s""",
+    )
+)
+def span_confidences(spark, d):
+    """How sure each run of equal roles of the best path is; the SQL sums over all paths."""
+    rows = _rows(spark, d)
+    return rounded(lattices.markov_confidences(rows.select("seq", "t", "symbol"), tagging.fit_markov(rows)), "p")
+
+
+@query()
+def entropy_markov_states(spark, d):
+    """The roles by a maximum-entropy Markov model; its paths are tested against all paths."""
+    rows = _rows(spark, d).withColumn("features", F.array("symbol", F.concat(F.lit("t"), F.col("t").cast("string"))))
+    weights, states, _ = lattices.fit_entropy_markov(rows, rounds=15, tolerance=1e-5)
+    return lattices.best_entropy_paths(rows.drop("state"), weights, states).select("seq", "t", "state")
+
+
 @query()
 def chain_field_states(spark, d):
     """A conditional random field trained on the roles: gradient and accuracy are tested."""
