@@ -40,6 +40,7 @@ WINDOW, STRIDE = 32, 16
 COSINE = 0.45
 LCS, LCS_ANSWER, SHORT = 0.75, 0.5, 8
 ITEMS, ITEM_BYTES = 4096, 32 << 20
+TILE = 4096  # passages of documents, and of items, whose cosines are held at once
 _STRIP = b".,;:!?\"'()[]{}"
 _STRIPPED = np.zeros(256, bool)
 _STRIPPED[list(_STRIP)] = True
@@ -330,7 +331,7 @@ class Search:
         self.gate = Gate([self.checks[i] for i in self.worded]) if len(self.worded) else None
 
     def found(self, part: np.ndarray, off: np.ndarray, only_candidates: bool) -> Iterator[tuple]:
-        """(text, item, cosine, share, answer) of the texts that leak an item."""
+        """(text, item, cosine, share, answer, latent) of the texts that leak an item; `latent`: the latent search proposed it."""
         table, power, vectors, owner, checks = self.table, self.power, self.vectors, self.owner, self.checks
         bucket, stripped, size = _hashed(part, off)
         blocks = -(-size // STRIDE)
@@ -361,19 +362,22 @@ class Search:
             if checked[2] and ((doc, item) not in best or best[doc, item][1::-1] < (checked[0], cos)):
                 best[doc, item] = (cos, *checked)
 
-        for at in range(0, len(far), 8192):
-            pick = far[at : at + 8192]
+        for at in range(0, len(far), TILE):
+            pick = far[at : at + TILE]
             sums = np.zeros((len(pick), table.shape[1]), np.float32)
             for k in range(WINDOW):
                 place = start[pick] + k
                 inside = place < stop[pick]
                 word = where[np.minimum(place, len(where) - 1)]
                 sums += table[np.where(inside & (word >= 0), word, len(table) - 1)]
-            cos = sums @ vectors.T / length[pick, None]
-            i, j = np.nonzero(cos >= COSINE)
-            for doc, item, low, c in zip(of[pick[i]].tolist(), owner[j].tolist(), (start[pick[i]] - first[of[pick[i]]]).tolist(), cos[i, j].tolist(), strict=True):
-                reach = len(checks[item].words)
-                keep(doc, item, c, (0.0, False, True) if only_candidates else checks[item].check(words(doc)[max(0, low - reach) : low + WINDOW + reach]))
+            sums /= length[pick, None]
+            for low_ in range(0, len(vectors), TILE):  # a tile of cosines, however many passages a block of items has
+                cos = sums @ vectors[low_ : low_ + TILE].T
+                i, j = np.nonzero(cos >= COSINE)
+                for doc, item, low, c in zip(of[pick[i]].tolist(), owner[j + low_].tolist(), (start[pick[i]] - first[of[pick[i]]]).tolist(), cos[i, j].tolist(), strict=True):
+                    reach = len(checks[item].words)
+                    keep(doc, item, c, (0.0, False, True) if only_candidates else checks[item].check(words(doc)[max(0, low - reach) : low + WINDOW + reach]))
+        latent = set(best)
         for doc, stretch, item in () if only_candidates else zip(*(x.tolist() for x in self.gate.found(stripped, size)), strict=True):
             item = int(self.worded[item])
             reach, low = len(checks[item].words), stretch * self.gate.span
@@ -387,14 +391,14 @@ class Search:
                     cos = vectors[owner == item] @ table[np.where(word >= 0, word, len(table) - 1)].sum(0) / np.sqrt(power[bucket[place]].sum())
                     keep(doc, item, float(cos.max(initial=0)), checked)
         for (doc, item), (cos, share, answer, _) in best.items():
-            yield doc, self.ids[item], cos, share, answer
+            yield doc, self.ids[item], cos, share, answer, (doc, item) in latent
 
 
 _READY: dict[str, Search] = {}  # of one block of items, kept between a worker's tasks
 
 
 def _search(docs: DataFrame, items: DataFrame, n_bytes: int, idf: np.ndarray, only_candidates: bool) -> DataFrame:
-    schema = "doc_id long, item_id long, cosine double, lcs double, answer boolean"
+    schema = "doc_id long, item_id long, cosine double, lcs double, answer boolean, latent boolean"
     path = tx.store(_texts(items, "item_id").filter("id is not null and text is not null").repartition(max(1, n_bytes >> 20)), "items")
     space = latent_space(docs.sparkSession.read.parquet(path), idf)
     if space is None:
@@ -411,13 +415,14 @@ def _search(docs: DataFrame, items: DataFrame, n_bytes: int, idf: np.ndarray, on
                 out = [(a + doc, *x) for doc, *x in search.found(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], only_candidates)]
                 if out:
                     c = list(zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(c[0])), pa.array(c[1], pa.int64()), pa.array(c[2], pa.float64()), pa.array(c[3], pa.float64()), pa.array(c[4])], ["doc_id", "item_id", "cosine", "lcs", "answer"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(c[0])), pa.array(c[1], pa.int64()), pa.array(c[2], pa.float64()), pa.array(c[3], pa.float64()), pa.array(c[4]), pa.array(c[5])], ["doc_id", "item_id", "cosine", "lcs", "answer", "latent"])
 
     return _texts(docs, "doc_id").mapInArrow(run, schema)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, only_candidates: bool = False) -> DataFrame:
-    """(doc_id, item_id, cosine, lcs, answer): every document that contains a benchmark item, or a paraphrase.
+    """(doc_id, item_id, cosine, lcs, answer, latent): every document that contains a benchmark item, or a paraphrase; `latent` says
+    that the latent search proposed a passage which passed the check, so that the share the gate adds can be read off.
 
     With `only_candidates`, what the latent search alone proposes.
     """
@@ -430,7 +435,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, only_candidates: bool = False)
         part = _search(docs, items, (size or 0) // blocks, idf, only_candidates)
         found = part if found is None else found.unionByName(part)
     best = F.max(F.struct("lcs", "cosine", "answer")).alias("b")
-    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.cosine", "b.lcs", "b.answer")
+    return found.groupBy("doc_id", "item_id").agg(best, F.max("latent").alias("latent")).select("doc_id", "item_id", "b.cosine", "b.lcs", "b.answer", "latent")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
