@@ -7,9 +7,10 @@ kept, and a logistic layer scores these. All of it is trained here, in numpy, by
 sample of labelled rows (`TRAIN_ROWS`, half of each label where there are enough, chosen by a hash of the id);
 whole texts are used for training and scoring. Half of what the true label shares ask for is added to the
 logit, between the balanced sample's scores and calibrated ones: full calibration loses recall at the cut, none precision. Thresholds are calibrated per language on all clean labelled rows that were not fitted on (a fifth of
-the sample, by a hash of the id, and all rows outside it): the lowest score at which the language's false positives
-stay within `MAX_FALSE`; the language picks the threshold, never enters the score. A language with too few clean
-rows for one of them to be within `MAX_FALSE` takes the common threshold, so no single row sets one.
+the sample, by a hash of the id, and all rows outside it): the lowest score from `CUT` up at which the language's false positives
+stay within `MAX_FALSE`; the language picks the threshold, never enters the score. One rule holds for any number of rows: a language's
+false positives are counted together with 1 / `MAX_FALSE` rows that behave like all languages' rows do, and those of all
+languages with as many of which `MAX_FALSE` are false at every threshold. So few rows move a threshold little, no rows not at all.
 
 Defined results: null and empty texts are one padding word; without labelled rows of both kinds every score is
 the share of label 1 (0.5 without rows); null labels are left out; an unknown language takes the common threshold;
@@ -21,7 +22,6 @@ values in `clean`. Training holds the sample's whole texts in one task, scoring
 from __future__ import annotations
 
 import pickle
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -240,25 +240,18 @@ def thresholds(clean: DataFrame) -> dict:
     """The thresholds by language (None: common) over the (lang, _score) of all clean rows."""
     count = clean.groupBy("lang", F.floor(F.col("_score") * GRAIN).cast("long").alias("at")).agg(F.count("*").alias("n"))
     count = count.groupBy("lang").agg(F.collect_list(F.struct("at", "n")).alias("c"))  # GRAIN + 1 pairs at most
-    common, limits = Counter(), {}
-
-    def above(counts: dict, false: int) -> float:
-        """The lowest threshold that at most `false` rows reach."""
-        for at in sorted(counts, reverse=True):
-            false -= counts[at]
-            if false < 0:
-                return float(min(max(CUT, (at + 1) / GRAIN), 0.999))
-        return CUT
-
-    for row in count.toLocalIterator():
-        counts = {x["at"]: x["n"] for x in row["c"]}
-        common.update(counts)
-        false = int(MAX_FALSE * sum(counts.values()))
-        if row["lang"] is not None and false:
-            limits[row["lang"]] = above(counts, false)
-    n = sum(common.values())
-    limits[None] = above(common, max(1, int(MAX_FALSE * n))) if n >= 20 else CUT
-    return limits
+    counts = {row["lang"]: np.bincount([x["at"] for x in row["c"]], [x["n"] for x in row["c"]], GRAIN + 1) for row in count.toLocalIterator()}
+    above = lambda c: np.cumsum(c[::-1])[::-1]  # noqa: E731  rows at or over each threshold
+    places = np.arange(GRAIN + 1)
+
+    def lowest(rate: np.ndarray) -> float:
+        fine = np.flatnonzero((rate <= MAX_FALSE + 1e-12) & (places >= CUT * GRAIN))
+        return float(min(fine[0] / GRAIN, 0.999)) if len(fine) else 0.999
+
+    prior = 1 / MAX_FALSE
+    every = sum(counts.values(), np.zeros(GRAIN + 1))
+    rate = (above(every) + prior * MAX_FALSE) / (every.sum() + prior)
+    return {None: lowest(rate)} | {lang: lowest((above(c) + prior * rate) / (c.sum() + prior)) for lang, c in counts.items() if lang is not None}
 
 
 def fitted(rows: list[tuple], share: float) -> Network:

@@ -701,12 +701,25 @@ def test_toxicity_thresholds(spark):
     r = random.Random(31)
     rows = [("en", r.random() * 0.8) for _ in range(5000)] + [("fr", 0.1 + i / 1000) for i in range(50)] + [("fr", 0.9999)]
     rows += [("de", 0.75 + i / 10_000) for i in range(400)] + [("de", 0.9999)] + [("it", 0.2)] * 3
-    got = toxicity.thresholds(spark.createDataFrame(rows, "lang string, _score double"))
-    for lang in ("en", "de"):  # over all rows, one odd row moves nothing
-        own = [s for x, s in rows if x == lang]
-        false = int(toxicity.MAX_FALSE * len(own))
-        assert sum(s >= got[lang] for s in own) <= false < sum(s >= got[lang] - 2 / toxicity.GRAIN for s in own)
-    assert got["de"] < 0.8 and "fr" not in got and "it" not in got and got[None] < 0.8
+    found = lambda rows: toxicity.thresholds(spark.createDataFrame(rows, "lang string, _score double"))
+    got, prior = found(rows), 1 / toxicity.MAX_FALSE
+
+    def slow(lang):
+        """The lowest multiple from CUT up at which the language's rows and those borrowed from all languages keep to MAX_FALSE."""
+        own = [int(s * toxicity.GRAIN) for x, s in rows if x == lang]
+        for at in range(int(toxicity.CUT * toxicity.GRAIN), toxicity.GRAIN + 1):
+            rate = (sum(int(s * toxicity.GRAIN) >= at for _, s in rows) + 1) / (len(rows) + prior)
+            if lang is not None:
+                rate = (sum(s >= at for s in own) + prior * rate) / (len(own) + prior)
+            if rate <= toxicity.MAX_FALSE + 1e-12:
+                return min(at / toxicity.GRAIN, 0.999)
+        return 0.999
+
+    assert got == {lang: slow(lang) for lang in ("en", "fr", "de", "it", None)}
+    # one odd row moves a threshold little, whatever the language's size; few rows hardly leave the common one
+    for lang in ("fr", "de"):
+        assert abs(found([r for r in rows if r != (lang, 0.9999)])[lang] - got[lang]) < 0.02
+    assert abs(got["it"] - got[None]) < 0.005 and found([])[None] == toxicity.CUT
 
 
 def test_toxicity_thresholds_see_rows_outside_the_sample(spark):
