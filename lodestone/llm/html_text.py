@@ -1,13 +1,13 @@
 """HTML extraction by line-block distribution.
 
 A page is read tag by tag, in one pass, and cut into lines at block elements. A line weighs its characters outside
-links; a list item that is links alone weighs nothing, other lines that are links alone weigh one within an article or
-main element and nothing outside. Lines of elements that are no text by their tag, role or class (scripts, styles,
+links; a line that is links alone weighs one within an article or main element and nothing outside. Lines of elements that are no text by their tag, role or class (scripts, styles,
 menus, headers, footers, sidebars, notices, adverts, forms, reader comments, hidden ones) stay as lines without text
 or weight; so do all lines outside the article and main elements of a page that has some. The weights of `WINDOW`
 lines after each other are summed; where the sum surges from zero a run of main text begins, where it dives to zero it
-ends, and the lines between are kept: one link between paragraphs, but no list of links. Every run counts, however
-long or short, and however long the page's others are.
+ends, and the lines between are kept: outside articles one link between paragraphs, but no list of links. Every run
+counts, however long or short, and however long the page's others are. Within an article or main element a heading is never
+left out by its class, nor is an element by a class or id that has other words beside those for what isn't main text.
 
 Defined results: null and empty pages, and pages without text, give the empty string; null urls and ids stay null;
 repeated rows give a row each; an empty table gives no rows; other columns are ignored. Broken markup is read as far
@@ -53,6 +53,9 @@ WEAK = frozenset("related recommended legal toc respond responses search subscri
 #: With one of these a class says what surrounds or adjoins, not what it is.
 NEUTRAL = frozenset("has with no without open wrap wrapper layout content page body main post entry article text".split())
 WHERE = frozenset("site global top bottom left right sticky box bar area slot block list section container item items links buttons inner outer".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Words that name the title's place, within an article or main element.
+TITLED = frozenset("header masthead banner".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*))?)?")
@@ -76,14 +79,21 @@ def _boiler(name: str, attributes: dict[str, str], in_main: bool) -> bool:
         return True
     if attributes.get("role", "").lower() in ROLES:
         return True
-    container = name in CONTAINERS
+    if in_main and name in HEADINGS:
+        return False
+    container, words = name in CONTAINERS, BOILER - TITLED if in_main else BOILER
     for token in attributes.get("class", "").split():
-        if token.lower() in BOILER or container and not in_main and token.lower() in WEAK:
+        if token.lower() in words or container and not in_main and token.lower() in WEAK:
             return True
-        if container and not NEUTRAL.intersection(parts := _parts(token)) and BOILER.intersection(parts):
+        parts = _parts(token) if container else []
+        if in_main and _placed(parts, words) or not in_main and not NEUTRAL.intersection(parts) and words.intersection(parts):
             return True
-    parts = _parts(attributes.get("id", "")) if container and name != "section" else ()
-    return bool(parts) and not BOILER.isdisjoint(parts) and all(p in BOILER or p in WHERE for p in parts)
+    return container and name != "section" and _placed(_parts(attributes.get("id", "")), words)
+
+
+def _placed(parts: list[str], words: frozenset) -> bool:
+    """Whether a name says what isn't main text, and beside that only where it stands."""
+    return not words.isdisjoint(parts) and all(p in words or p in WHERE for p in parts)
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
@@ -125,8 +135,8 @@ def tokens(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
 def lines(page: str) -> list[tuple[str, int, bool]]:
     """(text, weight, inside an article or main element) of each line; boilerplate stays as a weightless line."""
     out: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, bool, bool, bool, bool, int]] = []  # name, skipped, main, link, list item, place of the paragraph to end
-    skipped = main = link = item = False
+    stack: list[tuple[str, bool, bool, bool, int]] = []  # name, skipped, main, link, place of the paragraph to end
+    skipped = main = link = False
     paragraph = -1
     text: list[str] = []
     linked, mute = 0, False
@@ -137,17 +147,17 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         if mute and not line:
             out.append(("", 0, main))
         elif line:
-            out.append((line, max(len(line) - linked, 1 if main and not item else 0), main))
+            out.append((line, max(len(line) - linked, 1 if main else 0), main))
         text, linked, mute = [], 0, False
 
     held: dict[str, int] = {}  # open elements by name, so that a stray end tag costs nothing
 
     def close(k: int) -> None:
-        nonlocal skipped, main, link, item, paragraph
+        nonlocal skipped, main, link, paragraph
         for x in stack[k:]:
             held[x[0]] -= 1
         del stack[k:]
-        skipped, main, link, item, paragraph = stack[-1][1:] if stack else (False, False, False, False, -1)
+        skipped, main, link, paragraph = stack[-1][1:] if stack else (False, False, False, -1)
 
     def end(names: tuple[str, ...], up_to: frozenset) -> None:
         """Close the innermost open element of these names, if none of `up_to` lies in it."""
@@ -181,9 +191,9 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             if name in ENDS_OWN and held.get(name, 0) + held.get(PAIRED.get(name, ""), 0):
                 end((name, PAIRED.get(name, name)), ENDS_OWN[name])
             skipped = skipped or _boiler(name, attributes, main)
-            main, link, item = main or name in MAIN and not skipped, link or name == "a", item or name == "li"
+            main, link = main or name in MAIN and not skipped, link or name == "a"
             paragraph = len(stack) if name == "p" else -1 if name in HOLDS_P else paragraph
-            stack.append((name, skipped, main, link, item, paragraph))
+            stack.append((name, skipped, main, link, paragraph))
             held[name] = held.get(name, 0) + 1
     flush()
     return out

@@ -485,6 +485,16 @@ def test_html_attributes_and_odd_markup():
     assert get("<article><p><a href=x>Linked paragraph</a></p><p>Text</p></article>") == "Linked paragraph\nText"
 
 
+def test_html_keeps_what_an_article_says():
+    page = lambda inner: html_text.main_text(f"<html><body><nav><a href='/'>Home</a></nav><article><p>Begin here.</p>{inner}<p>The end.</p></article></body></html>")
+    kept = "<ul><li><a href='/1'>First source</a></li><li><a href='/2'>Second source</a></li><li><a href='/3'>Third</a></li><li><a href='/4'>Fourth</a></li></ul>"
+    assert page(kept) == "Begin here.\nFirst source\nSecond source\nThird\nFourth\nThe end."
+    for inner in ('<h2 class="header">Title</h2>', '<div class="market-share"><p>Title</p></div>', '<section class="comments-on-history"><p>Title</p></section>', '<div class="header"><p>Title</p></div>', '<h3 class="nav">Title</h3>'):
+        assert page(inner) == "Begin here.\nTitle\nThe end."
+    for inner in ('<div class="ad">Buy</div>', '<div class="share-buttons"><p>Share</p></div>', '<section class="comments"><p>So true</p></section>', '<div class="comment-list"><p>So true</p></div>', '<ul class="menu"><li>One</li></ul>', '<div id="cookie-bar">Accept</div>'):
+        assert page(inner) == "Begin here.\nThe end."
+
+
 def test_html_time_follows_the_size():
     for unit in ("<div class='", "<div class=a><p>x", "<p><b>", "</b>", "<td>x", "<li>"):
         began = time.process_time()
