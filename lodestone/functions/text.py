@@ -10,8 +10,8 @@ STOP_WORDS = ("the", "of", "and", "to", "in", "is", "that", "for", "it", "as", "
 
 
 def words(text: Column) -> Column:
-    """Runs of letters in lower case."""
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
+    """Runs of letters of any alphabet in lower case."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
 
 
 def is_term(word: Column, shortest: int = 2, longest: int = 50, stop: tuple[str, ...] = STOP_WORDS) -> Column:

@@ -18,7 +18,7 @@ _STOP = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
 
 
 def _terms(column: str = "text") -> str:
-    return f"list_filter(regexp_extract_all(lower({column}), '[a-z]+'), lambda w: length(w) BETWEEN 2 AND 50 AND w NOT IN ({_STOP}))"
+    return f"list_filter(regexp_extract_all(lower({column}), '\\p{{L}}+'), lambda w: length(w) BETWEEN 2 AND 50 AND w NOT IN ({_STOP}))"
 
 
 _INDEX = f"""

@@ -15,7 +15,7 @@ _STOP = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
 
 
 def _terms(column: str) -> str:
-    return f"list_filter(regexp_extract_all(lower({column}), '[a-z]+'), lambda w: length(w) BETWEEN 2 AND 50 AND w NOT IN ({_STOP}))"
+    return f"list_filter(regexp_extract_all(lower({column}), '\\p{{L}}+'), lambda w: length(w) BETWEEN 2 AND 50 AND w NOT IN ({_STOP}))"
 
 
 VIEWS = Views(
@@ -165,12 +165,12 @@ def web_distances(spark, d):
 
 
 @query(
-    VIEWS.text("boosted", "title_term", last="").rstrip() + f", q AS (SELECT DISTINCT item_id AS query, unnest({_terms('text')}) AS term FROM benchmark WHERE item_id < 20), "
+    VIEWS.text("boosted", "title_term", last="").rstrip() + f", q AS (SELECT DISTINCT item_id AS query, unnest({_terms('text')}) AS term FROM benchmark), "
     "h AS (SELECT query, doc_id, w FROM q JOIN boosted USING (term) UNION ALL SELECT query, doc_id, 1.0::DOUBLE FROM q JOIN title_term USING (term)), s AS (SELECT query, doc_id, sum(w) AS score FROM h GROUP BY ALL), "
     "r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s QUALIFY rank <= 10) SELECT query, doc_id, rank, CASE WHEN length(text) > 250 THEN substr(text, 1, 200) ELSE text END AS snippet FROM r JOIN documents USING (doc_id)"
 )
 def index_search(spark, d):
-    q = read(spark, d, "benchmark").filter("item_id < 20").select(F.col("item_id").alias("query"), F.explode(tx.terms(F.col("text"))).alias("term")).distinct()
+    q = read(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.explode(tx.terms(F.col("text"))).alias("term")).distinct()
     return concepts.search(q, _boosted(spark, d), _titles(spark, d), _docs(spark, d).select("doc_id", "text"))
 
 
