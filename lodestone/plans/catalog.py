@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
-from lodestone.operators import index, learn, links, models, sequences
+from lodestone.operators import evaluate, index, learn, links, models, sequences
 from lodestone.operators import learners as learners_
 from lodestone.plans.base import QUERIES, SQL, query  # noqa: F401
 from lodestone.plans.base import rounded as _round
@@ -237,6 +237,14 @@ def classifier_measures(spark, d):
     return _round(learn.class_measures(found.join(labels, "doc_id").select("label", "predicted")), "precision", "recall", "f1")
 
 
+@query(f"WITH {_NB}, c AS (SELECT label, predicted, count(*) AS n FROM judged GROUP BY ALL) SELECT label, predicted, n, round(n / sum(n) OVER (PARTITION BY label), 6) AS share FROM c")
+def confusion_cells(spark, d):
+    counts, labels, model, priors = _bayes(spark, d)
+    found = learn.best_label(learn.naive_bayes_predict(counts, model, priors))
+    return _round(evaluate.confusion(found.join(labels, "doc_id").select("label", "predicted")), "share")
+
+
+
 @query(
     f"""WITH {_INDEX}, {_LABELS},
 w AS (SELECT count(*)::DOUBLE AS n, sum(label)::DOUBLE AS pos FROM lab),

@@ -130,6 +130,24 @@ def token_accuracy(spark, d):
     return rounded(evaluate.token_accuracy(found.join(rows.withColumnRenamed("state", "label"), ["seq", "t"])), "accuracy")
 
 
+@query(
+    VIEWS.text(
+        "trace_", "place_", "obs",
+        last=""", pair AS (SELECT o.state AS label, s AS predicted FROM trace_ JOIN place_ p USING (seq, i) JOIN obs o ON o.seq = p.seq AND o.t = p.t),
+each AS (SELECT label AS l FROM pair UNION SELECT predicted FROM pair),
+m AS (SELECT l AS label, count(*) FILTER (pair.label = l AND predicted = l) AS tp, count(*) FILTER (pair.label <> l AND predicted = l) AS fp, count(*) FILTER (pair.label = l AND predicted <> l) AS fn FROM each, pair GROUP BY l),
+pr AS (SELECT *, CASE WHEN tp + fp = 0 THEN 1 ELSE tp / (tp + fp) END AS precision, CASE WHEN tp + fn = 0 THEN 1 ELSE tp / (tp + fn) END AS recall FROM m)
+SELECT label, tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END, 6) AS f1 FROM pr""",
+    )
+)
+def token_class_scores(spark, d):
+    """Precision, recall and F1 of every state over all places of the best paths."""
+    rows = _rows(spark, d)
+    found = tagging.best_paths(rows.select("seq", "t", "symbol"), tagging.fit_markov(rows)).select("seq", "t", F.col("state").alias("predicted"))
+    pairs = found.join(rows.withColumnRenamed("state", "label"), ["seq", "t"]).select("label", "predicted")
+    return rounded(learn.class_measures(pairs), "precision", "recall", "f1")
+
+
 _LANG = "tl AS (SELECT lang, term, n FROM tf JOIN documents USING (doc_id)), d_ AS (SELECT lang, term, sum(n) / (SELECT sum(n) FROM tl y WHERE y.lang = x.lang) AS p FROM tl x GROUP BY lang, term)"
 
 
