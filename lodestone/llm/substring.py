@@ -5,9 +5,11 @@ anchors are counted: the least hash of every run of windows inside one window of
 windows always share their anchors, at the same offset. Anchors that occur once die. What survives alone is extended
 to windows of twice the length, and so on up to `words`. At that length every window around a survivor is kept: the
 first occurrence (smallest doc_id, then earliest start) of each is found from two independent hashes of 64 and 32 bits, and each
-later occurrence covers the words that are removed. Doubling then goes on, over the windows that begin at their least
-window of `words` words, until no candidate survives: `longest` is the last length at which a document still has
-one (0: none). It can't change what is removed, as all windows of `words` words inside a longer repeat repeat as well.
+later occurrence covers the words that are removed. Doubling then goes on over every place until nothing survives: a window
+of twice the length is known by the hashes of its halves, so that only repeated windows are looked at again and no text is.
+`longest_repeat` is the last length at which any window of a document occurs twice (0: none), `longest` the last at which
+one does that begins at its least window of `words` words. They can't change what is removed, as all windows of `words`
+words inside a longer repeat repeat as well.
 
 Documents equal to an earlier one word by word are collapsed first: they lose all their words if they have a
 window at all, and can't be the first occurrence of anything.
@@ -156,26 +158,9 @@ def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").select(*keys)
 
 
-def longer(one: np.ndarray, start: np.ndarray, h: np.ndarray, words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(length, hash, second hash, starts) of the windows of 2 * words, 4 * words, ... words that begin at their least window.
-
-    `one` are the hashes of the candidate windows of `words` words at `start`; longer windows consist of such alone.
-    """
-    last = np.concatenate([np.flatnonzero(np.diff(start) != 1), [len(start) - 1]])
-    room = start[last[np.searchsorted(last, np.arange(len(start)))]] - start + words
-    length, at = 2 * words, np.arange(len(start))
-    while len(at := at[room[at] >= length]):
-        least = _slide(one, length - words + 1, np.minimum)
-        at = at[least[at] == one[at]]
-        yield length, tx.mix(windows(h, length)[start[at]]), tx.mix(windows(h, length, SECOND)[start[at]]), start[at]
-        length *= 2
-
-
 def extended(texts: DataFrame, alive: DataFrame, length: int, every: bool) -> DataFrame:
-    """(h, g, doc_id, start, length) of the windows of `length` words around surviving anchors of half the length.
-
-    With `every`, all of them, and the longer ones that begin at their least window; else only anchors.
-    """
+    """(h, g, doc_id, start) of the windows of `length` words around surviving anchors of half the length: with `every` all
+    of them, else only anchors."""
     short = length // 2
     alive = alive.groupBy("doc_id", _sub("at").alias("sub")).agg(F.collect_list(_word("at")).alias("at"))
     marked = texts.join(alive, ["doc_id", "sub"])
@@ -194,24 +179,20 @@ def extended(texts: DataFrame, alive: DataFrame, length: int, every: bool) -> Da
                 live[at] = small[at]
                 span = length - short + 1  # a repeated window's least short window is an anchor that lives
                 start = np.flatnonzero(_slide(live, span, np.minimum) == _slide(small, span, np.minimum))
+                if not every:
+                    start = np.intersect1d(anchors(h, np.array([len(h)]), 2 * length, length)[0], start)
                 one = tx.mix(windows(h, length)[start])
-                if every:
-                    found = [(length, one, tx.mix(windows(h, length, SECOND)[start]), start), *longer(one, start, h, length)]
-                else:
-                    own = np.intersect1d(anchors(h, np.array([len(h)]), 2 * length, length)[0], start)
-                    found = [(length, tx.mix(windows(h, length)[own]), np.zeros(len(own), np.uint64), own)]
-                for size, one, two, start in found:
-                    n = len(start)
-                    yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(np.full(n, doc_id.as_py(), np.int64)), pa.array(start | sub.as_py() << 32), pa.array(np.full(n, size, np.int32))], ["h", "g", "doc_id", "start", "length"])
+                two = tx.mix(windows(h, length, SECOND)[start]) if every else np.zeros(len(start), np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(np.full(len(start), doc_id.as_py(), np.int64)), pa.array(start | sub.as_py() << 32)], ["h", "g", "doc_id", "start"])
 
-    return marked.select("doc_id", "sub", "text", "at").mapInArrow(run, "h long, g int, doc_id long, start long, length int")
+    return marked.select("doc_id", "sub", "text", "at").mapInArrow(run, "h long, g int, doc_id long, start long")
 
 
-def later(found: DataFrame) -> DataFrame:
-    """(doc_id, start) of the windows whose words also start earlier."""
+def repeats(found: DataFrame) -> DataFrame:
+    """(h, g, doc_id, start, later) of the windows whose words stand elsewhere too; later: whether they also start earlier."""
     keys = ["h", "g"]
     first = found.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).filter("n > 1").select(*keys, "first")
-    return found.join(tx.dealt_anew(first, "h"), keys).filter(F.struct("doc_id", "start") > F.col("first")).select("doc_id", "start")
+    return found.join(tx.dealt_anew(first, "h"), keys).select(*keys, "doc_id", "start", (F.struct("doc_id", "start") > F.col("first")).alias("later"))
 
 
 def _remove(words: int) -> Callable:
@@ -233,36 +214,49 @@ def _remove(words: int) -> Callable:
     return run
 
 
-def survivors(found: DataFrame, words: int) -> DataFrame:
-    """(doc_id, sub, longest): doubles the length of repeated windows until no candidate survives.
+def survivors(alive: DataFrame, words: int) -> DataFrame:
+    """(doc_id, sub, longest, longest_repeat): doubles the length of repeated windows, from every place, until none is left.
 
-    `found` has (h, g, doc_id, start, length) of the candidates of 2 * words, 4 * words, ... words. A window of twice
-    the length is a candidate only where the window before it has survived.
+    `alive` has (h, g, doc_id, start) of the repeated windows of `words` words. A window of twice the length repeats only where
+    the window at its start and the one behind that do, and is equal to another where both are. `low` is the least hash of
+    the windows of `words` words inside a window, `least` whether it begins there.
     """
-    length, alive, best = 2 * words, None, None
+    spark, length, own = alive.sparkSession, words, F.col("h").bitwiseXOR(F.lit(-(1 << 63)))  # hashes are unsigned
+    alive, best = alive.select("h", "g", "doc_id", "start", own.alias("low"), F.lit(True).alias("least")), None
+    by = Window.partitionBy("doc_id").orderBy("start")
     while True:
-        now = found.filter(F.col("length") == length).select("h", "g", "doc_id", "start")
-        if alive is not None:
-            now = now.join(alive, ["doc_id", "start"], "left_semi")
-        alive = tx.stored(now.join(tx.dealt_anew(repeated(now, ["h", "g"]), "h"), ["h", "g"]).select("doc_id", "start"), "alive")
-        here = alive.select("doc_id", _sub("start").alias("sub"), F.lit(length).cast("long").alias("longest"))
+        ahead = lambda c, n: F.first(c).over(by.rangeBetween(n, n))
+        half, span = length // 2, by.rangeBetween(0, length)
+        # windows of twice the words and more overlap enough for three of them to have all inside; not so the first ones
+        low = F.min("low").over(span) if length == words else F.least("low", ahead("low", half), ahead("low", length))
+        pairs = alive.select("h", "g", "doc_id", "start", "low", "least", ahead("h", length).alias("h2"), ahead("g", length).alias("g2"), low.alias("all")).filter("h2 is not null")
+        now = pairs.select(F.xxhash64("h", "h2").alias("h"), F.hash("g", "g2").alias("g"), "doc_id", "start", F.col("all").alias("low"), (F.col("least") & (F.col("all") == F.col("low"))).alias("least"))
+        now = tx.stored(now, "doubled")
+        alive_now = tx.stored(now.join(tx.dealt_anew(repeated(now, ["h", "g"]), "h"), ["h", "g"]), "alive")
+        tx.drop_stored(spark, now)
+        if length > words:
+            tx.drop_stored(spark, alive)
+        alive, length = alive_now, 2 * length
+        at = F.lit(length).cast("long")
+        here = tx.stored(alive.groupBy("doc_id", _sub("start").alias("sub")).agg(F.max(F.when(F.col("least"), at)).alias("longest"), F.max(at).alias("longest_repeat")), "longest")
         best = here if best is None else best.unionByName(here)
-        if alive.isEmpty():
-            return best.groupBy("doc_id", "sub").agg(F.max("longest").alias("longest"))
-        length *= 2
+        if here.isEmpty():
+            tx.drop_stored(spark, alive)
+            return best.groupBy("doc_id", "sub").agg(F.max("longest").alias("longest"), F.max("longest_repeat").alias("longest_repeat"))
 
 
 def substring_dedup(docs: DataFrame, words: int = 20, levels: int = 1) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, longest per document."""
+    """doc_id, n_words, n_removed, kept_sha256, longest, longest_repeat per document."""
     if levels < 1 or words % 2**levels:
         raise ValueError("words must be a multiple of 2 ** levels, levels 1 or more")
     spark = docs.sparkSession
     texts, subs = told_apart(docs)
     known = tx.stored(read(docs), "read")
-    least = known.filter("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").select("digest", "first_id")
+    least = known.filter("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count("*").alias("n")).filter("n > 1").select("digest", "first_id", "last_id")
     known = known.join(tx.dealt_anew(least, "digest"), "digest", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False)))
+    known = known.withColumn("again", F.col("doc_id").isNotNull() & F.coalesce(F.col("last_id") > F.col("first_id"), F.lit(False)))
     known = known.withColumn("sub", F.lit(0)) if subs is None else known.join(subs, ["doc_id", "digest"], "left").withColumn("sub", F.coalesce("sub", F.lit(0)))
-    known = tx.stored(known.select("doc_id", "sub", "n_words", "digest", "copy"), "known")
+    known = tx.stored(known.select("doc_id", "sub", "n_words", "digest", "copy", "again"), "known")
     length = words >> levels
     rows = tx.stored(anchor_rows(texts.filter("doc_id is not null"), 2 * length, length), "anchors")
     copies = known.filter("copy").select("doc_id", "sub").distinct()
@@ -275,24 +269,25 @@ def substring_dedup(docs: DataFrame, words: int = 20, levels: int = 1) -> DataFr
         tx.drop_stored(spark, rows)
     found = tx.stored(extended(texts, alive, words, True), "windows")
     tx.drop_stored(spark, alive)
-    full = found.filter(F.col("length") == words)
-    starts = later(full).groupBy("doc_id", _sub("start").alias("sub")).agg(F.collect_list(_word("start")).alias("starts"))
-    starts = tx.stored(starts, "starts")
-    more = tx.stored(found.filter(F.col("length") > words), "longer")
+    twice = tx.stored(repeats(found), "repeats")
     tx.drop_stored(spark, found)
-    longest = tx.stored(survivors(more, words), "longest")
-    tx.drop_stored(spark, more)
+    starts = twice.filter("later").groupBy("doc_id", _sub("start").alias("sub")).agg(F.collect_list(_word("start")).alias("starts"))
+    starts = tx.stored(starts, "starts")
+    longest = tx.stored(survivors(twice.drop("later"), words), "longest")
+    any_ = tx.stored(twice.select("doc_id", _sub("start").alias("sub"), F.lit(words).cast("long").alias("first")).distinct(), "any")
+    tx.drop_stored(spark, twice)
     cut = texts.join(starts, ["doc_id", "sub"]).select("doc_id", "sub", "text", "starts").mapInArrow(_remove(words), "doc_id long, sub int, cut long, sha string")
     gone = F.col("copy") & (F.col("n_words") >= words)
     empty = hashlib.sha256(b"").hexdigest()
     removed = F.when(gone, F.col("n_words")).otherwise(F.coalesce("cut", F.lit(0))).cast("long")
     doubled = F.lit(words) * F.pow(F.lit(2), F.floor(F.log2(F.col("n_words") / words) + 1e-9))
-    return known.join(cut, ["doc_id", "sub"], "left").join(longest, ["doc_id", "sub"], "left").select(
+    return known.join(cut, ["doc_id", "sub"], "left").join(longest, ["doc_id", "sub"], "left").join(any_, ["doc_id", "sub"], "left").select(
         "doc_id",
         "n_words",
         removed.alias("n_removed"),
         F.when(gone, F.lit(empty)).otherwise(F.coalesce("sha", F.lower(F.hex("digest")))).alias("kept_sha256"),
         F.when(gone, doubled).otherwise(F.coalesce("longest", F.when(removed > 0, F.lit(words)).otherwise(0))).cast("long").alias("longest"),
+        F.when(F.col("again") & (F.col("n_words") >= words), doubled).otherwise(F.coalesce("longest_repeat", "first", F.lit(0))).cast("long").alias("longest_repeat"),
     )
 
 
