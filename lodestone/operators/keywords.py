@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,19 +30,27 @@ def transitions(nodes: DataFrame, edges: DataFrame, alpha: float = 0.1, beta: fl
 
 
 def ranked(nodes: DataFrame, moves: DataFrame, tax: float = 0.15, rounds: int = 20) -> DataFrame:
-    """(id, word, rank): each text's own graph is one group, iterated in numpy: V' = (1 - tax) M V + tax / n."""
-
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        names, place = np.unique(part[["src", "dst"]].to_numpy(dtype=str).ravel(), return_inverse=True)
-        place = place.reshape(-1, 2)
-        p, n = part["p"].to_numpy(), int(part["n_words"].iloc[0])
-        v = np.full(len(names), 1.0 / n)
-        for _ in range(rounds):
-            v = (1 - tax) * np.bincount(place[:, 1], p * v[place[:, 0]], len(names)) + tax / n
-        return pd.DataFrame({"id": key[0], "word": names, "rank": v})
+    """(id, word, rank): V' = (1 - tax) M V + tax / n in each text's own graph; the graphs of a batch are iterated side by side."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            many = np.asarray(batch.column(1).value_lengths())
+            edges = batch.column(1).flatten()
+            text = np.repeat(np.arange(len(many)), many)
+            held = pa.concat_arrays([edges.field("src"), edges.field("dst")]).dictionary_encode()
+            # a node is a word of one text
+            node, place = np.unique(np.tile(text, 2) * len(held.dictionary) + np.asarray(held.indices), return_inverse=True)
+            src, dst, p = place[: len(text)], place[len(text) :], np.asarray(edges.field("p"))
+            of, word = np.divmod(node, max(1, len(held.dictionary)))
+            even = 1.0 / np.asarray(batch.column(2))[of]
+            v = even
+            for _ in range(rounds):
+                v = (1 - tax) * np.bincount(dst, p * v[src], len(node)) + tax * even
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), held.dictionary.take(pa.array(word)), pa.array(v, pa.float64())], ["id", "word", "rank"])
 
     size = nodes.groupBy("id").agg(F.count("*").alias("n_words"))
-    found = moves.join(size, "id").groupBy("id").applyInPandas(run, "id long, word string, rank double")
+    graphs = moves.groupBy("id").agg(F.collect_list(F.struct("src", "dst", "p")).alias("edges")).join(size, "id")
+    found = graphs.select(F.col("id").cast("long"), "edges", "n_words").mapInArrow(run, "id long, word string, rank double")
     alone = nodes.join(moves.select("id", F.col("src").alias("word")), ["id", "word"], "left_anti").join(size, "id")
     return found.unionByName(alone.select(F.col("id").cast("long"), "word", ((tax) / F.col("n_words")).alias("rank")))
 
