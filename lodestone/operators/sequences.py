@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
+from lodestone.sources.tables import settled
 
 
 def window_features(rows: DataFrame, key: str, order: str, value: str, left: int = -2, right: int = 3) -> DataFrame:
@@ -45,6 +46,7 @@ def bigram_counts(docs: DataFrame) -> DataFrame:
 
 def association(bigrams: DataFrame) -> DataFrame:
     """(a, b, n, g2): four-cell log-likelihood of each bigram, cells smoothed by 0.01."""
+    bigrams = settled(bigrams)  # read four times, and counted once
     left = bigrams.groupBy("a").agg(F.sum("n").alias("na"))
     right = bigrams.groupBy("b").agg(F.sum("n").alias("nb"))
     whole = F.broadcast(bigrams.agg(F.sum("n").alias("all")))  # one row
