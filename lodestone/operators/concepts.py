@@ -15,14 +15,22 @@ def vocabulary(counts: DataFrame, title_terms: DataFrame, least: int = 5) -> Dat
     return df.join(named, "term", "left").filter((F.col("df") > least) | F.col("named")).select("term", "df")
 
 
-def boosted(raw: DataFrame, title_terms: DataFrame, boost: float = 1.5, key: str = "doc_id") -> DataFrame:
-    """(key, term, w) of raw weights x: those of title terms times `boost`. The norm is the root of the sum of squares
-    plus (boost - 1) * x for each title term: a linear correction, as results that must match have it."""
-    named = title_terms.select(key, "term").distinct().withColumn("named", F.lit(True))
-    rows = raw.join(named, [key, "term"], "left").withColumn("named", F.coalesce("named", F.lit(False)) & F.lit(boost > 1.1))
-    norm = rows.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x") + F.when(F.col("named"), F.col("x") * (boost - 1)).otherwise(0.0))).alias("norm"))
+def named_counts(words: DataFrame, title_terms: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, term, n, named) of words (key, term), a row for each occurrence: how often a term stands in a row, and whether in its
+    title too. The title's terms are counted along, so that no join by row and term is needed."""
+    rows = words.select(key, "term", F.lit(1).alias("n"), F.lit(False).alias("named"))
+    rows = rows.unionByName(title_terms.select(key, "term", F.lit(0).alias("n"), F.lit(True).alias("named")))
+    return rows.groupBy(key, "term").agg(F.sum("n").alias("n"), F.max("named").alias("named")).filter("n > 0")
+
+
+def boosted(raw: DataFrame, boost: float = 1.5, key: str = "doc_id") -> DataFrame:
+    """(key, term, w) of raw weights (key, term, x, named): those of title terms times `boost`. The norm is the root of the sum of squares
+    plus (boost - 1) * x for each title term: a linear correction, as results that must match have it. Null keys are left out."""
+    rows = raw.filter(F.col(key).isNotNull()).withColumn("named", F.col("named") & F.lit(boost > 1.1))
+    square = F.col("x") * F.col("x") + F.when(F.col("named"), F.col("x") * (boost - 1)).otherwise(0.0)
+    rows = rows.withColumn("norm", F.sqrt(F.sum(square).over(Window.partitionBy(key))))
     w = F.when(F.col("named"), F.col("x") * boost).otherwise(F.col("x")) / F.col("norm")
-    return rows.join(norm, key).select(key, "term", F.when(F.col("norm") > 0, w).otherwise(0.0).alias("w"))
+    return rows.select(key, "term", F.when(F.col("norm") > 0, w).otherwise(0.0).alias("w"))
 
 
 def trimmed(vectors: DataFrame, limit: int) -> DataFrame:
